@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_filter, warc
+from . import chat, lines, simhash, substring, url_filter, warc
 
 URL_RULES = [
     url_filter.site_rule("net/", "block"),
@@ -68,6 +68,50 @@ FROM f
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), m AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE first < doc_id),
+x AS (SELECT doc_id, list_sort(list(p)) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, j: NOT list_contains(gone, j)) END AS kept
+  FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+#: Sites a line must stand on to be boilerplate.
+LINE_SITES = 10
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(table(spark, sf_dir, "documents"), LINE_SITES)
+    return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+), s AS (
+  SELECT trim(line) AS t, count(DISTINCT source) AS sites FROM l WHERE trim(line) <> '' GROUP BY 1
+), r AS (
+  SELECT l.*, CASE WHEN sites >= 10 THEN row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, n) ELSE 1 END AS k
+  FROM l LEFT JOIN s ON trim(l.line) = s.t
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (k = 1), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["length"].cast("string"))), ",")
@@ -97,11 +141,19 @@ FROM o GROUP BY conv_id, perspective
 """
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries():
     return {
         "op1_url_filters": op1_url_filters,
         "op3_warc": op3_warc,
+        "op4_substring_dedup": op4_substring_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_simhash": op10_simhash,
     }
 
 
@@ -109,5 +161,7 @@ def oracle_sql():
     return {
         "op1_url_filters": OP1_SQL,
         "op3_warc": OP3_SQL,
+        "op4_substring_dedup": OP4_SQL,
+        "op8_line_dedup": OP8_SQL,
         "op9_chat_formatting": OP9_SQL,
     }
