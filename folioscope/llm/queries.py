@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, simhash, substring, url_filter, warc
+from . import bpe, chat, lines, quality, simhash, substring, url_filter, warc
+
+#: The public tokenizer's files; where they lie is a parameter.
+RANKS = "byte_bpe_50k.tiktoken"
 
 URL_RULES = [
     url_filter.site_rule("net/", "block"),
@@ -47,6 +50,12 @@ FROM j WHERE k = 1
 """
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
@@ -87,6 +96,14 @@ k AS (
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.classify(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 #: Sites a line must stand on to be boilerplate.
 LINE_SITES = 10
 
@@ -149,8 +166,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_substring_dedup": op4_substring_dedup,
+        "op7_quality": op7_quality,
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_simhash": op10_simhash,
