@@ -116,3 +116,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-smallest")
     lookup = materialize(named.join(smallest, "root").select("fp", "component_id"), "simhash-lookup")
     return rows.join(lookup, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Of similar_groups: this many keys a document, each of the smallest shingle hashes of
+#: two independent orders. Two texts of similarity 0.8 share a key but for one in 400.
+KEYS = 6
+_ODD = [np.uint64(x) for x in (np.random.default_rng(10).integers(1, 2**63, 2 * KEYS, dtype=np.int64) * 2 + 1).astype(np.uint64).tolist()]
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    parts = set(shingles(text, k))
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh3_64_digest(x) for x in parts]), ">u8").astype(np.uint64))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, row_key, the text's content (c1, c2), its fingerprint fp, the number n of
+    distinct shingles, and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column("text").cast(pa.large_binary()):
+                text = t.as_py() or b""
+                raw = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+                own = shingle_set(text, shingle)
+                mixed = [int((own * m).min()) for m in _ODD] if len(own) else []
+                keys = [xxhash.xxh3_64_intdigest(np.array([j, mixed[2 * j], mixed[2 * j + 1]], np.uint64).tobytes()) - 2**63 for j in range(KEYS)] if mixed else []
+                rows.append((int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True), fingerprint(text, shingle), len(own), keys))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["doc_id", "row_key", "c1", "c2", "fp", "n", "keys"])
+
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return own.mapInArrow(run, "doc_id long, row_key long, c1 long, c2 long, fp long, n int, keys array<long>")
+
+
+def shingle_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """row_key and the shingle set of the wanted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"", shingle).view(np.int64) for t in b.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(sets, pa.list_(pa.int64()))], names=["row_key", "own"])
+
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return own.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(run, "row_key long, own array<long>")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 2) -> DataFrame:
+    """doc_id, row_key, component_id: groups of texts whose sets of ``shingle``-word
+    shingles have a Jaccard similarity of ``similarity`` or more.
+
+    At 0.8 the fingerprints of two texts differ in 5 to 14 bits, more than segments
+    that are still selective allow. So links of the fingerprint index are joined by
+    candidates that share a key of smallest shingle hashes, and every link is verified
+    on the shingle sets. Under a key all are compared with the smallest; those that
+    aren't similar to it form the key's next round, until no key has two left.
+    """
+    rows = materialize(signatures(docs, id_col, text_col, shingle), "similar-rows")
+    chosen = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_key", "fp", "n", "keys")).alias("r"))
+    chosen = materialize(chosen.select("c1", "c2", "r.*"), "similar-contents")
+    # ids of contents: the row_key of the representative
+    prints = materialize(chosen.groupBy("fp").agg(F.min("row_key").alias("row_key")), "similar-prints")
+    edges = links(prints.select("fp"), max_distance)
+    left, right = prints.select(F.col("fp").alias("a"), F.col("row_key").alias("x")), prints.select(F.col("fp").alias("b"), F.col("row_key").alias("y"))
+    near = edges.join(left, "a").join(right, "b").select("x", "y")
+    same = chosen.select("fp", F.col("row_key").alias("y")).join(prints.select("fp", F.col("row_key").alias("x")), "fp").where("x <> y").select("x", "y")
+    filed = materialize(chosen.select("row_key", "n", F.explode("keys").alias("key")), "similar-keys")
+    sizes = chosen.select("row_key", "n")
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    filed = materialize(filed.join(shared, "key", "left_semi"), "similar-keys")
+    wanted = materialize(filed.select("row_key").unionByName(near.select(F.col("x").alias("row_key"))).unionByName(near.select(F.col("y").alias("row_key"))).unionByName(same.select(F.col("x").alias("row_key"))).unionByName(same.select(F.col("y").alias("row_key"))).distinct(), "similar-wanted")
+    sets = materialize(shingle_rows(docs, wanted, id_col, text_col, shingle).dropDuplicates(["row_key"]), "similar-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """x, y, similar of distinct pairs; sizes rule most of the others out first."""
+        sized = pairs.join(sizes.select(F.col("row_key").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("row_key").alias("y"), F.col("n").alias("ny")), "y")
+        close = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
+        met = sized.where(close).join(sets.select(F.col("row_key").alias("x"), F.col("own").alias("ox")), "x").join(sets.select(F.col("row_key").alias("y"), F.col("own").alias("oy")), "y")
+        both = F.size(F.array_intersect("ox", "oy"))
+        return met.where(both >= similarity * (F.col("nx") + F.col("ny") - both)).select("x", "y")
+
+    found = materialize(verified(near.unionByName(same).distinct()), "similar-links")
+    rest = filed
+    while True:
+        heads = materialize(rest.groupBy("key").agg(F.min("row_key").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "similar-heads")
+        members = materialize(rest.join(heads, "key").where("row_key <> x").select("key", "x", F.col("row_key").alias("y"), "n"), "similar-members")
+        if members.isEmpty():
+            break
+        true = materialize(verified(members.select("x", "y").distinct()), "similar-links")
+        found = found.unionByName(true)
+        rest = materialize(members.join(true, ["x", "y"], "left_anti").select(F.col("y").alias("row_key"), "n", "key"), "similar-rest")
+    roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = materialize(chosen.join(roots, F.col("row_key") == F.col("node"), "left").select("c1", "c2", "doc_id", F.coalesce("root", "row_key").alias("root")), "similar-roots")
+    smallest = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-smallest")
+    lookup = materialize(named.join(smallest, "root").select("c1", "c2", "component_id"), "similar-lookup")
+    return rows.join(lookup, ["c1", "c2"]).select("doc_id", "row_key", "component_id")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: of each group the one with the
+    smallest doc_id stays (repeated rows of it stay together; of rows with that id and
+    another text, all stay). A null doc_id stays only in a group without any other."""
+    groups = similar_groups(docs, similarity, shingle, id_col, text_col)
+    gone = materialize(groups.where("component_id is not null and not (doc_id <=> component_id)").select("row_key").distinct(), "similar-gone")
+    return docs.withColumn("_row_key", F.xxhash64(docs[id_col].cast("long"), docs[text_col])).join(gone, F.col("_row_key") == F.col("row_key"), "left_anti").select(*docs.columns)
