@@ -11,10 +11,15 @@ repeat only if its anchor does. Windows repeated at that length alone are extend
 to twice the length (cut to ``window``) and counted again; those whose sequence
 starts in a smaller document are what goes. Lengths under 4 have one level only.
 
-Counts are aggregates that combine map-side: the smallest and largest doc_id of a
-hash. They go back to the positions by a sort-merge join of tables in the shared
+Copies come first: documents with the same words are one content, stood for by the
+one with the smallest doc_id. Only contents are compared, and a copy of a smaller
+document goes whole, as each of its windows starts there too.
+
+Counts are aggregates that combine map-side: the smallest and largest content or
+doc_id of a hash. They go back to the positions by a sort-merge join of tables in the shared
 folder, which Spark splits where one passage holds a large share of all rows.
-Anchors are compared by 64 bits (a collision only costs work), full windows by 128.
+Anchors are compared by 64 bits (a collision only costs work), full windows by 96,
+contents by 128.
 
 Defined cases
     * null text: no words. Texts with fewer words than a window: nothing goes.
@@ -26,7 +31,6 @@ Defined cases
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -78,139 +82,148 @@ def anchors(hashes: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.
     return short, at
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
-    for b in batches:
-        texts = b.column("text").cast(pa.large_binary())
-        for i in range(len(texts)):
-            yield b, i, (texts[i].as_py() or b"").split()
-
-
-def _long_batches(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Gathers arrays to batches of a bounded size."""
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
-
-    for r in rows:
-        held.append(r)
-        size += len(r[0])
-        if size >= FLUSH:
-            yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return own.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
 
+def content(words: list[bytes]) -> tuple[int, int]:
+    """Two signed 64-bit halves of a hash of the words."""
+    raw = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
+
+
 def anchor_rows(own: DataFrame, window: int, half: int) -> DataFrame:
-    """h, doc_id, row_key, pos of every distinct anchor position."""
+    """h, c, pos of every distinct anchor position, c the content's first half; and for
+    each row with a window one row with pos -1, h the second half, doc_id and row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b, i, words in _split(batches):
+        names = ["h", "c", "pos", "doc_id", "row_key"]
+        for b in batches:
+            texts, ids, keys = b.column("text").cast(pa.large_binary()), b.column("doc_id").to_pylist(), b.column("row_key").to_pylist()
+            hs, cs, ps, heads, size = [], [], [], [], 0
+
+            def flush():
+                n = len(heads)
+                one, two, doc, key = zip(*heads)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ps)), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(two, pa.int64()), pa.array(one, pa.int64()), pa.array(np.full(n, -1, np.int32)), pa.array(doc, pa.int64()), pa.array(key, pa.int64())], names=names)
+
+            for i in range(len(texts)):
+                words = texts[i].as_py().split()
                 if len(words) < window:
                     continue
+                one, two = content(words)
                 short, at = anchors(word_hashes(words), window, half)
                 at = np.unique(at)
-                same = lambda name: np.full(len(at), b.column(name)[i].as_py(), np.int64)
-                yield short[at].view(np.int64), same("doc_id"), same("row_key"), at.astype(np.int32)
-
-        return _long_batches(rows(), ["h", "doc_id", "row_key", "pos"])
+                hs.append(short[at].view(np.int64))
+                cs.append(np.full(len(at), one, np.int64))
+                ps.append(at.astype(np.int32))
+                heads.append((one, two, ids[i], keys[i]))
+                size += len(at)
+                if size >= FLUSH:
+                    yield from flush()
+                    hs, cs, ps, heads, size = [], [], [], [], 0
+            if heads:
+                yield from flush()
 
-    return own.where("doc_id is not null and text is not null").mapInArrow(run, "h long, doc_id long, row_key long, pos int")
+    return own.where("doc_id is not null and text is not null").mapInArrow(run, "h long, c long, pos int, doc_id long, row_key long")
 
 
 def window_rows(own: DataFrame, alive: DataFrame, window: int, half: int) -> DataFrame:
-    """Two hashes of each full window whose anchor is alive: row_key -> positions."""
+    """The hash (h, h2) of each full window whose anchor is alive, with where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b, i, words in _split(batches):
-                hashes = word_hashes(words)
-                positions = np.array(b.column("alive")[i].as_py(), np.int64)
+        for b in batches:
+            texts, ids, keys, alives = b.column("text").cast(pa.large_binary()), b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("alive")
+            held: list[tuple[np.ndarray, ...]] = []
+            size = 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["h", "h2", "doc_id", "row_key", "pos"])
+
+            for i in range(len(texts)):
+                hashes = word_hashes(texts[i].as_py().split())
+                positions = alives[i].values.to_numpy(zero_copy_only=False)
                 if half < window:
                     _, at = anchors(hashes, window, half)
-                    living = np.zeros(len(words) + 1, bool)
+                    living = np.zeros(len(hashes) + 1, bool)
                     living[positions] = True
                     positions = np.flatnonzero(living[at])
-                one, two = (windows(hashes, window, m)[positions].view(np.int64) for m in MULTIPLIERS[:2])
-                same = lambda name: np.full(len(one), b.column(name)[i].as_py(), np.int64)
-                yield one, two, same("doc_id"), same("row_key"), positions.astype(np.int32)
-
-        return _long_batches(rows(), ["h", "h2", "doc_id", "row_key", "pos"])
-
-    return own.join(alive, "row_key").select("doc_id", "row_key", "text", "alive").mapInArrow(run, "h long, h2 long, doc_id long, row_key long, pos int")
+                n = len(positions)
+                one = windows(hashes, window, MULTIPLIERS[0])[positions].view(np.int64)
+                two = (windows(hashes, window, MULTIPLIERS[1])[positions] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                held.append((one, two, np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), positions.astype(np.int32)))
+                size += n
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+            if held:
+                yield flush()
 
+    return own.join(alive, "row_key").select("doc_id", "row_key", "text", "alive").mapInArrow(run, "h long, h2 int, doc_id long, row_key long, pos int")
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in two documents or more, with the smallest of these."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
 
-
-def settle(spark) -> None:
-    """Let Spark delete the shuffle files of finished levels."""
-    gc.collect()
-    spark._jvm.System.gc()
+def repeated(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The keys that occur under two values of ``by`` or more, with the smallest of these."""
+    return rows.groupBy(*keys).agg(F.min(by).alias("first"), F.max(by).alias("last")).where("first < last").drop("last")
 
 
 def covered(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key, starts: where windows begin that also start in a smaller document."""
-    spark = docs.sparkSession
+    """row_key, starts: where windows begin that also start in a smaller document; null
+    starts: the row is a copy of a smaller document."""
     own = keyed(docs, id_col, text_col)
     half = (window + 1) // 2 if window >= 4 else window
     level = materialize(anchor_rows(own, window, half), "substring-anchors")
-    again = materialize(repeated(level, ["h"]).select("h"), "substring-repeated")
-    settle(spark)
-    alive = level.join(again, "h").select("row_key", "pos").groupBy("row_key").agg(F.collect_set("pos").alias("alive"))
-    alive = materialize(alive, "substring-alive")
+    heads = level.where("pos = -1").select("c", F.col("h").alias("c2"), "doc_id", "row_key")
+    chosen = materialize(heads.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")).select("c", "c2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key")), "substring-contents")
+    copies = heads.join(chosen, ["c", "c2"]).where("doc_id > rep_id").select("row_key").distinct()
+
+    places = level.where("pos >= 0").select("h", "c", "pos")
+    again = materialize(repeated(places, ["h"], "c").select("h"), "substring-repeated")
+    alive = places.join(again, "h").groupBy("c").agg(F.collect_set("pos").alias("alive"))
+    alive = materialize(chosen.join(alive, "c").select(F.col("rep_key").alias("row_key"), "alive"), "substring-alive")
+    copies = materialize(copies, "substring-copies")
     discard(level)
-    settle(spark)
+
     full = materialize(window_rows(own, alive, window, half), "substring-windows")
-    settle(spark)
-    again = materialize(repeated(full, ["h", "h2"]), "substring-repeated")
-    settle(spark)
-    hits = full.join(again, ["h", "h2"]).where("doc_id > first")
-    hits = materialize(hits.groupBy("row_key").agg(F.collect_set("pos").alias("starts")), "substring-hits")
+    again = materialize(repeated(full, ["h", "h2"], "doc_id"), "substring-repeated")
+    hits = full.join(again, ["h", "h2"]).where("doc_id > first").groupBy("row_key").agg(F.collect_set("pos").alias("starts"))
+    hits = materialize(hits, "substring-hits")
     discard(full)
-    settle(spark)
-    return hits
+    return hits.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    own = keyed(docs, id_col, text_col).join(covered(docs, window, id_col, text_col), "row_key", "left")
+    found = covered(docs, window, id_col, text_col).withColumn("hit", F.lit(True))
+    own = keyed(docs, id_col, text_col).join(found, "row_key", "left")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, total, gone, digests, texts = b.column("doc_id"), [], [], [], []
-            starts = b.column("starts")
-            for _, i, words in _split(iter([b])):
-                removed = 0
+            total, gone, digests, kepts = [], [], [], []
+            texts, starts, hit = b.column("text").cast(pa.large_binary()), b.column("starts"), b.column("hit").to_pylist()
+            for i in range(len(texts)):
+                words = (texts[i].as_py() or b"").split()
                 total.append(len(words))
-                if starts[i].is_valid:
+                if hit[i] and starts[i].is_valid:
                     steps = np.zeros(len(words) + 1, np.int64)
-                    at = np.array(starts[i].as_py(), np.int64)
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
-                    stay = np.cumsum(steps[:-1]) == 0
-                    removed = int(len(words) - stay.sum())
-                    words = [words[j] for j in np.flatnonzero(stay).tolist()]
+                    at = starts[i].values.to_numpy(zero_copy_only=False)
+                    steps[at] += 1
+                    steps[at + window] -= 1
+                    words = [words[j] for j in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
+                elif hit[i]:
+                    words = []
                 kept = b" ".join(words)
-                gone.append(removed)
+                gone.append(total[-1] - len(words))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 if keep_text:
-                    texts.append(kept)
-            arrays = [ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
+                    kepts.append(kept)
+            arrays = [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
             if keep_text:
-                arrays.append(pa.array(texts, pa.binary()).cast(pa.string()))
+                arrays.append(pa.array(kepts, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return own.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    return own.select("doc_id", "text", "starts", "hit").mapInArrow(run, schema)
