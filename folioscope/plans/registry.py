@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from . import queries as q
 
-def queries():
-    return {}
 
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.citation_distribution(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in q.ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.ALL)
