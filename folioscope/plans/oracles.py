@@ -27,7 +27,7 @@ def _unmark(x: str) -> str:
 
 def _clean(x: str, n: int) -> str:
     c = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
-    return rf"(SELECT CASE WHEN length(c) <= {n} THEN c ELSE regexp_replace(substr(c, 1, {n - 3}), '\s+$', '') || '...' END FROM (SELECT {c} AS c))"
+    return rf"(SELECT CASE WHEN length(zz) <= {n} THEN zz ELSE regexp_replace(substr(zz, 1, {n - 3}), '\s+$', '') || '...' END FROM (SELECT {c} AS zz))"
 
 
 def _expand(x: str) -> str:
