@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lines, quality, simhash, substring, url_filter, warc
+from . import bpe, chat, decontaminate, fingerprint, lines, quality, simhash, substring, url_filter, warc
 
 #: The public tokenizer's files; where they lie is a parameter.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -97,6 +97,10 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '
 """
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", F.col("_contaminated").alias("contaminated"), F.col("_items").alias("n_items"), F.col("_item_id").alias("item_id"), F.col("_share").alias("share"))
@@ -174,6 +178,7 @@ def queries():
         "op2_bpe": op2_bpe,
         "op3_warc": op3_warc,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_fingerprints": op5_fingerprints,
         "op6_decontamination": op6_decontamination,
         "op7_quality": op7_quality,
         "op8_line_dedup": op8_line_dedup,
