@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Criteria by family, as judges name them.
 CRITERIA = {
@@ -25,7 +26,7 @@ CRITERIA = {
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first balanced ``{...}`` of a text, strings and escapes respected; null if none."""
 
