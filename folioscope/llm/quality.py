@@ -72,15 +72,17 @@ def counts(text: bytes) -> np.ndarray:
 class Model:
     """Term weights, projection, and the labelled vectors."""
 
-    def __init__(self, raw: list[np.ndarray], labels: list[int]):
+    def __init__(self, sparse: list[tuple[list[int], list[float]]], labels: list[int]):
         self.mean = float(np.mean(labels)) if labels else 0.5
         if not labels:
             self.weights = np.zeros(DIM, np.float32)
             self.projection = np.zeros((DIM, 1), np.float32)
             self.vectors, self.labels = np.zeros((0, 1), np.float32), np.zeros(0, np.float32)
             return
-        x = np.stack(raw)
-        self.weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+        x = np.zeros((len(sparse), DIM), np.float32)
+        for i, (where, n) in enumerate(sparse):
+            x[i, where] = n
+        self.weights = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
         x = self.terms(x)
         rank = min(RANK, *x.shape)
         draw = np.random.default_rng(7).standard_normal((DIM, rank + 8)).astype(np.float32)
@@ -93,8 +95,11 @@ class Model:
         self.labels = np.asarray(labels, np.float32)
 
     def terms(self, x: np.ndarray) -> np.ndarray:
-        x = np.log1p(x, out=x) * self.weights
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        """In place: weighted logarithmic counts of length one."""
+        np.log1p(x, out=x)
+        x *= self.weights
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+        return x
 
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
@@ -143,12 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = picked.schema["doc_id"].dataType.simpleString()
     rows = picked.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, at array<int>, n array<float>")
     rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", F.col("at").cast("string")).limit(SAMPLE).collect()
-    raw = []
-    for r in rows:
-        x = np.zeros(DIM, np.float32)
-        x[r["at"]] = r["n"]
-        raw.append(x)
-    return Model(raw, [r["label"] for r in rows])
+    return Model([(r["at"], r["n"]) for r in rows], [r["label"] for r in rows])
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
