@@ -120,8 +120,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Of similar_groups: this many keys a document, each of the smallest shingle hashes of
 #: two independent orders. Two texts of similarity 0.8 share a key but for one in 400.
-KEYS = 6
-_ODD = [np.uint64(x) for x in (np.random.default_rng(10).integers(1, 2**63, 2 * KEYS, dtype=np.int64) * 2 + 1).astype(np.uint64).tolist()]
+#: Each key has longer forms, of four, six and eight orders, for members that a round
+#: leaves over.
+KEYS, FORMS = 6, 4
+_ODD = [np.uint64(x) for x in (np.random.default_rng(10).integers(1, 2**62, 2 * KEYS * FORMS, dtype=np.int64) * 2 + 1).astype(np.uint64).tolist()]
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -142,14 +144,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 raw = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
                 own = shingle_set(text, shingle)
                 mixed = [int((own * m).min()) for m in _ODD] if len(own) else []
-                keys = [xxhash.xxh3_64_intdigest(np.array([j, mixed[2 * j], mixed[2 * j + 1]], np.uint64).tobytes()) - 2**63 for j in range(KEYS)] if mixed else []
+                keys = [[xxhash.xxh3_64_intdigest(np.array([j, *mixed[2 * FORMS * j :][: 2 * f + 2]], np.uint64).tobytes()) - 2**63 for f in range(FORMS)] for j in range(KEYS)] if mixed else []
                 rows.append((int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True), fingerprint(text, shingle), len(own), keys))
             cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["doc_id", "row_key", "c1", "c2", "fp", "n", "keys"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return own.mapInArrow(run, "doc_id long, row_key long, c1 long, c2 long, fp long, n int, keys array<long>")
+    return own.mapInArrow(run, "doc_id long, row_key long, c1 long, c2 long, fp long, n int, keys array<array<long>>")
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -171,8 +173,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     At 0.8 the fingerprints of two texts differ in 5 to 14 bits, more than segments
     that are still selective allow. So links of the fingerprint index are joined by
     candidates that share a key of smallest shingle hashes, and every link is verified
-    on the shingle sets. Under a key all are compared with the smallest; those that
-    aren't similar to it form the key's next round, until no key has two left.
+    on the shingle sets. Under a key all are compared with the one of the smallest
+    doc_id; those that aren't similar to it go to the next round under the key's next
+    longer form, which parts texts that only share common passages, until no key has two
+    left. So two texts that are each similar to a smaller one are joined through it;
+    a link that only leads from a member of one round to one of a later round can be
+    missed, as finding all of them would take all pairs of a group.
     """
     rows = materialize(signatures(docs, id_col, text_col, shingle), "similar-rows")
     chosen = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_key", "fp", "n", "keys")).alias("r"))
@@ -183,7 +189,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     left, right = prints.select(F.col("fp").alias("a"), F.col("row_key").alias("x")), prints.select(F.col("fp").alias("b"), F.col("row_key").alias("y"))
     near = edges.join(left, "a").join(right, "b").select("x", "y")
     same = chosen.select("fp", F.col("row_key").alias("y")).join(prints.select("fp", F.col("row_key").alias("x")), "fp").where("x <> y").select("x", "y")
-    filed = materialize(chosen.select("row_key", "n", F.explode("keys").alias("key")), "similar-keys")
+    filed = materialize(chosen.select("doc_id", "row_key", "n", F.explode("keys").alias("forms")).select("doc_id", "row_key", "n", F.col("forms")[0].alias("key"), F.slice("forms", 2, FORMS).alias("forms")), "similar-keys")
     sizes = chosen.select("row_key", "n")
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     filed = materialize(filed.join(shared, "key", "left_semi"), "similar-keys")
@@ -201,13 +207,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
     found = materialize(verified(near.unionByName(same).distinct()), "similar-links")
     rest = filed
     while True:
-        heads = materialize(rest.groupBy("key").agg(F.min("row_key").alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "similar-heads")
-        members = materialize(rest.join(heads, "key").where("row_key <> x").select("key", "x", F.col("row_key").alias("y"), "n"), "similar-members")
+        heads = materialize(rest.groupBy("key").agg(F.min(F.struct("doc_id", "row_key")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("head.row_key").alias("x")), "similar-heads")
+        members = materialize(rest.join(heads, "key").where("row_key <> x").select("key", "x", F.col("row_key").alias("y"), "n", "doc_id", "forms"), "similar-members")
         if members.isEmpty():
             break
         true = materialize(verified(members.select("x", "y").distinct()), "similar-links")
         found = found.unionByName(true)
-        rest = materialize(members.join(true, ["x", "y"], "left_anti").select(F.col("y").alias("row_key"), "n", "key"), "similar-rest")
+        rest = materialize(members.join(true, ["x", "y"], "left_anti").select("doc_id", F.col("y").alias("row_key"), "n", F.coalesce(F.try_element_at("forms", F.lit(1)), "key").alias("key"), F.slice("forms", 2, FORMS).alias("forms")), "similar-rest")
     roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = materialize(chosen.join(roots, F.col("row_key") == F.col("node"), "left").select("c1", "c2", "doc_id", F.coalesce("root", "row_key").alias("root")), "similar-roots")
     smallest = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-smallest")
