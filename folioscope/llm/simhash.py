@@ -91,7 +91,9 @@ def links(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     differ by ``max_distance`` (1 or 2) bits or fewer."""
     if max_distance not in (1, 2):
         raise ValueError("two segments find links of one or two differing bits")
-    index = variants(fps)
+    # a fingerprint becomes 64 rows: dealt out first, so that no task holds many of them
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = variants(fps.repartition(tasks, "fp"))
     keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     keys = materialize(keys, "simhash-keys")
     pairs = keys.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
