@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .graph import components
 
 SEED = 42
@@ -120,12 +120,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of similar_groups: this many keys a document, each of the smallest shingle hashes of
-#: two independent orders. Two texts of similarity 0.8 share a key but for one in 400.
-#: Each key has longer forms, of four, six and eight orders, for members that a round
-#: leaves over.
-KEYS, FORMS = 6, 4
-_ODD = [np.uint64(x) for x in (np.random.default_rng(10).integers(1, 2**62, 2 * KEYS * FORMS, dtype=np.int64) * 2 + 1).astype(np.uint64).tolist()]
+#: Of similar_groups: shingles are counted in this many passes, each over a share of the
+#: hashes, which bounds the disk; links are looked for in this many rounds against one
+#: member of a key before all that is left is compared; members of a key other than its
+#: main group are dealt out in blocks of this size. Shingle sets are sent on by so many.
+PASSES, ROUNDS, DEAL, SENT = 4, 3, 1000, 250
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -135,8 +134,7 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, row_key, the text's content (c1, c2), its fingerprint fp, the number n of
-    distinct shingles, and its keys."""
+    """doc_id, row_key, the text's content (c1, c2) and its fingerprint fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,62 +142,95 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
             for t in b.column("text").cast(pa.large_binary()):
                 text = t.as_py() or b""
                 raw = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
-                own = shingle_set(text, shingle)
-                mixed = [int((own * m).min()) for m in _ODD] if len(own) else []
-                keys = [[xxhash.xxh3_64_intdigest(np.array([j, *mixed[2 * FORMS * j :][: 2 * f + 2]], np.uint64).tobytes()) - 2**63 for f in range(FORMS)] for j in range(KEYS)] if mixed else []
-                rows.append((int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True), fingerprint(text, shingle), len(own), keys))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["doc_id", "row_key", "c1", "c2", "fp", "n", "keys"])
+                rows.append((int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True), fingerprint(text, shingle)))
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "row_key", "c1", "c2", "fp"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return own.mapInArrow(run, "doc_id long, row_key long, c1 long, c2 long, fp long, n int, keys array<array<long>>")
+    return own.mapInArrow(run, "doc_id long, row_key long, c1 long, c2 long, fp long")
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """row_key and the shingle set of the wanted rows."""
+    """row_key and the shingle set of the wanted rows, repeated ones once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py() or b"", shingle).view(np.int64) for t in b.column("text").cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array(sets, pa.list_(pa.int64()))], names=["row_key", "own"])
+            for at in range(0, b.num_rows, SENT):
+                part = b.slice(at, SENT)
+                sets = [shingle_set(t.as_py() or b"", shingle).view(np.int64) for t in part.column("text").cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array(sets, pa.list_(pa.int64()))], names=["row_key", "own"])
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return own.join(wanted, "row_key", "left_semi").select("row_key", "text").mapInArrow(run, "row_key long, own array<long>")
+    return own.join(wanted, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text").mapInArrow(run, "row_key long, own array<long>")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """h, row_key, n, share: the rarest shingles of each set, so many that any two sets
+    of that similarity have one of them in common.
+
+    Such sets share ``least = ceil(similarity * n)`` shingles or more of either's n; so
+    in one order of all shingles, here from rare to common, the first n - least + 1 of
+    both meet. Shingles of one set alone are counted in but not filed, and a set
+    with fewer than ``least`` others has no partner at all. share: the share of n that
+    others have too.
+    """
+    each = sets.select("row_key", F.size("own").alias("n"), F.explode("own").alias("h"))
+    shared = None
+    for k in range(PASSES):
+        part = each.where(F.pmod("h", F.lit(PASSES)) == k)
+        common = materialize(part.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "similar-common")
+        done = materialize(part.join(common, "h"), "similar-shared")
+        shared = done if shared is None else shared.unionByName(done)
+    mine = Window.partitionBy("row_key")
+    least = F.ceil(F.col("n") * similarity - 1e-6)
+    counted = shared.withColumn("s", F.count(F.lit(1)).over(mine)).where(F.col("s") >= least)
+    placed = counted.withColumn("at", F.row_number().over(mine.orderBy("df", "h")))
+    return placed.where(F.col("at") <= F.col("s") - least + 1).select("h", "row_key", "n", (F.col("s") / F.col("n")).alias("share"))
+
+
+def across(filed: DataFrame, similarity: float) -> DataFrame:
+    """x, y: all pairs under a key (h) of members of two roots whose sizes (n) allow the
+    similarity. The members of a key's largest root are not compared with each other."""
+    parts = filed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+    mains = parts.groupBy("h").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mains = materialize(mains.select("h", F.col("main.root").alias("main"), F.ceil((F.col("all") - F.col("main.m")) / DEAL).alias("blocks")), "similar-mains")
+    met = filed.join(mains, "h")
+    few = met.where("root <> main").select("h", F.pmod("row_key", "blocks").alias("block"), F.col("row_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    all_ = met.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("row_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    close = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    return few.join(all_, ["h", "block"]).where((F.col("ra") != F.col("rb")) & close).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 2) -> DataFrame:
-    """doc_id, row_key, component_id: groups of texts whose sets of ``shingle``-word
-    shingles have a Jaccard similarity of ``similarity`` or more.
+    """doc_id, row_key, component_id: the groups that links between all texts whose sets of
+    ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more make.
 
     At 0.8 the fingerprints of two texts differ in 5 to 14 bits, more than segments
-    that are still selective allow. So links of the fingerprint index are joined by
-    candidates that share a key of smallest shingle hashes, and every link is verified
-    on the shingle sets. Under a key all are compared with the one of the smallest
-    doc_id; those that aren't similar to it go to the next round under the key's next
-    longer form, which parts texts that only share common passages, until no key has two
-    left. So two texts that are each similar to a smaller one are joined through it;
-    a link that only leads from a member of one round to one of a later round can be
-    missed, as finding all of them would take all pairs of a group.
+    that are still selective allow. So the links of the fingerprint index are joined by
+    candidates that share a key, one of their rarest shingles (``prefixes``: no similar
+    pair is without one), and every link is verified on the shingle sets. Under a key
+    all are first compared with the one that has most in common with others, which the
+    original of a group is; those not similar to it go on to a next round. After
+    ``ROUNDS`` such rounds all pairs under a key that no link has joined so far
+    are compared (``across``), so that no link between two groups is lost.
     """
     rows = materialize(signatures(docs, id_col, text_col, shingle), "similar-rows")
-    chosen = rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_key", "fp", "n", "keys")).alias("r"))
-    chosen = materialize(chosen.select("c1", "c2", "r.*"), "similar-contents")
     # ids of contents: the row_key of the representative
+    chosen = materialize(rows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_key", "fp")).alias("r")).select("c1", "c2", "r.*"), "similar-contents")
     prints = materialize(chosen.groupBy("fp").agg(F.min("row_key").alias("row_key")), "similar-prints")
     edges = links(prints.select("fp"), max_distance)
     left, right = prints.select(F.col("fp").alias("a"), F.col("row_key").alias("x")), prints.select(F.col("fp").alias("b"), F.col("row_key").alias("y"))
     near = edges.join(left, "a").join(right, "b").select("x", "y")
     same = chosen.select("fp", F.col("row_key").alias("y")).join(prints.select("fp", F.col("row_key").alias("x")), "fp").where("x <> y").select("x", "y")
-    filed = materialize(chosen.select("doc_id", "row_key", "n", F.explode("keys").alias("forms")).select("doc_id", "row_key", "n", F.col("forms")[0].alias("key"), F.slice("forms", 2, FORMS).alias("forms")), "similar-keys")
-    sizes = chosen.select("row_key", "n")
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    filed = materialize(filed.join(shared, "key", "left_semi"), "similar-keys")
-    wanted = materialize(filed.select("row_key").unionByName(near.select(F.col("x").alias("row_key"))).unionByName(near.select(F.col("y").alias("row_key"))).unionByName(same.select(F.col("x").alias("row_key"))).unionByName(same.select(F.col("y").alias("row_key"))).distinct(), "similar-wanted")
-    sets = materialize(shingle_rows(docs, wanted, id_col, text_col, shingle).dropDuplicates(["row_key"]), "similar-sets")
+    every = materialize(shingle_rows(docs, chosen.select("row_key"), id_col, text_col, shingle), "similar-every")
+    filed = materialize(prefixes(every, similarity), "similar-keys")
+    # a text without a key has no partner
+    sets = materialize(every.join(filed.select("row_key").distinct(), "row_key", "left_semi"), "similar-sets")
+    discard(every)
+    sizes = materialize(sets.select("row_key", F.size("own").alias("n")), "similar-sizes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """x, y, similar of distinct pairs; sizes rule most of the others out first."""
+        """x, y of the pairs that are similar; sizes rule most of the others out first."""
         sized = pairs.join(sizes.select(F.col("row_key").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("row_key").alias("y"), F.col("n").alias("ny")), "y")
         close = F.least("nx", "ny") >= similarity * F.greatest("nx", "ny")
         met = sized.where(close).join(sets.select(F.col("row_key").alias("x"), F.col("own").alias("ox")), "x").join(sets.select(F.col("row_key").alias("y"), F.col("own").alias("oy")), "y")
@@ -208,14 +239,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
 
     found = materialize(verified(near.unionByName(same).distinct()), "similar-links")
     rest = filed
-    while True:
-        heads = materialize(rest.groupBy("key").agg(F.min(F.struct("doc_id", "row_key")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("head.row_key").alias("x")), "similar-heads")
-        members = materialize(rest.join(heads, "key").where("row_key <> x").select("key", "x", F.col("row_key").alias("y"), "n", "doc_id", "forms"), "similar-members")
+    for _ in range(ROUNDS):
+        heads = materialize(rest.groupBy("h").agg(F.max(F.struct("share", "row_key")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.col("head.row_key").alias("x")), "similar-heads")
+        members = materialize(rest.join(heads, "h").where("row_key <> x").select("h", "x", F.col("row_key").alias("y"), "share"), "similar-members")
         if members.isEmpty():
             break
         true = materialize(verified(members.select("x", "y").distinct()), "similar-links")
         found = found.unionByName(true)
-        rest = materialize(members.join(true, ["x", "y"], "left_anti").select("doc_id", F.col("y").alias("row_key"), "n", F.coalesce(F.try_element_at("forms", F.lit(1)), "key").alias("key"), F.slice("forms", 2, FORMS).alias("forms")), "similar-rest")
+        rest = materialize(members.join(true, ["x", "y"], "left_anti").select("h", F.col("y").alias("row_key"), "share"), "similar-rest")
+    joined = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    placed = filed.join(joined, F.col("row_key") == F.col("node"), "left").select("h", "row_key", "n", F.coalesce("root", "row_key").alias("root"))
+    pairs = materialize(across(materialize(placed, "similar-placed"), similarity), "similar-pairs")
+    found = found.unionByName(materialize(verified(pairs), "similar-links"))
     roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = materialize(chosen.join(roots, F.col("row_key") == F.col("node"), "left").select("c1", "c2", "doc_id", F.coalesce("root", "row_key").alias("root")), "similar-roots")
     smallest = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "similar-smallest")

@@ -148,3 +148,58 @@ def test_components_of_chains(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 5), (200, None)]
     rows = graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in rows} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def brute_groups(texts, least=0.8, k=5):
+    """A set of positions for each group of texts that links of Jaccard similarity join."""
+    sets = [set(simhash.shingles(t.encode(), k)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both >= least * (len(a) + len(b) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    groups = defaultdict(set)
+    for i in range(len(texts)):
+        groups[find(i)].add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def edited(r, words, n):
+    """The words with n of them replaced, far from each other."""
+    out = list(words)
+    step = len(words) // n
+    for i in range(n):
+        out[i * step + r.randrange(step - 5)] = f"e{r.randrange(10**9)}"
+    return out
+
+
+def spark_groups(spark, texts, ids):
+    found = defaultdict(set)
+    at = {x: i for i, x in enumerate(ids)}
+    for row in simhash.similar_groups(documents(spark, texts, ids=ids)).collect():
+        found[row["component_id"]].add(at[row["doc_id"]])
+    assert all(min(ids[i] for i in g) == c for c, g in found.items())
+    return sorted(map(sorted, found.values()))
+
+
+def test_groups_around_an_original_that_is_not_the_smallest(spark):
+    """Copies at 0.8 to 0.9 of an original, below 0.8 of each other; ids shuffled."""
+    import random
+
+    r = random.Random(31)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(304)]
+        texts += [" ".join(base), *[" ".join(edited(r, base, r.choice([4, 5, 6]))) for _ in range(r.randint(2, 6))]]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    want = brute_groups(texts)
+    assert len(want) == 30
+    assert spark_groups(spark, texts, ids) == want
