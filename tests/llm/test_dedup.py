@@ -203,3 +203,29 @@ def test_groups_around_an_original_that_is_not_the_smallest(spark):
     want = brute_groups(texts)
     assert len(want) == 30
     assert spark_groups(spark, texts, ids) == want
+
+
+def test_groups_that_share_passages(spark, monkeypatch):
+    """Passages that many unrelated texts hold crowd the keys; chains and links between
+    copies alone stay, also when only the last comparison finds them."""
+    import random
+
+    r = random.Random(32)
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(4)]
+    texts = []
+    for g in range(25):
+        base = sum(r.sample(passages, 3), []) + [f"g{g}w{i}" for i in range(r.randint(40, 60))]
+        group = [base]
+        for _ in range(r.randint(1, 5)):
+            group.append(edited(r, r.choice(group), r.choice([1, 2, 3])))
+        texts += map(" ".join, group)
+    for k in range(12):  # of passages alone
+        texts.append(" ".join(sum(r.sample(passages, 3), [])))
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    want = brute_groups(texts)
+    assert 12 < len(want) < len(texts)
+    assert spark_groups(spark, texts, ids) == want
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    monkeypatch.setattr(simhash, "DEAL", 3)
+    assert spark_groups(spark, texts, ids) == want
