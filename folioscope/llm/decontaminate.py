@@ -2,11 +2,14 @@
 
 Texts become templates: words are lower-cased and lose the marks around them;
 numbers, names (capitalised words inside a sentence) and units (after a number)
-become typed placeholders. Windows of ``window`` template tokens of the benchmark
-items are looked up in every document, and hits are checked slot by slot: along one
-alignment of document and item, an item's number, name or unit must stand for one
-and the same value of the document wherever it returns. So a question asked again
-with other numbers is found, and an accidental match of placeholders isn't.
+become typed placeholders. A capitalised word at the start of a sentence or line may be
+a name or not: a text has a template with all of them as words, one with all of them as
+names, and one with those as names that the text also has inside a sentence. Windows of
+``window`` template tokens of the benchmark items are looked up in every document, and
+hits are checked slot by slot: along one alignment of document and item, an item's
+number, name or unit must stand for one and the same value of the document wherever it
+returns; windows with one that doesn't are dropped. So a question asked again with other
+numbers is found, and an accidental match of placeholders isn't.
 
 A document is contaminated by an item if consistent hits cover at least ``share`` of
 the item's windows. Items shorter than a window are one window of their length.
@@ -67,11 +70,13 @@ class Templates:
     def __init__(self):
         self.known: dict[str, tuple[int, str, int, bool, bool]] = {}
 
-    def of(self, text: str) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """The hash of each template token, and (position, typed value) of each slot."""
+    def of(self, text: str) -> tuple[np.ndarray, list[tuple[int, str]], list[tuple[int, str]]]:
+        """The hash of each template token, (position, typed value) of each slot, and the
+        same of capitalised words at the start of a sentence or line, which are no slots yet."""
         known = self.known
         hashes: list[int] = []
         slots: list[tuple[int, str]] = []
+        starts: list[tuple[int, str]] = []
         for line in text.split("\n"):
             ended, number = True, False
             for raw in line.split():
@@ -86,18 +91,41 @@ class Templates:
                 elif kind == 3 and number:
                     h = UNIT
                     slots.append((len(hashes), "unit:" + bare))
-                elif capital and not ended:
+                elif capital and ended:
+                    starts.append((len(hashes), "name:" + bare))
+                elif capital:
                     h = NAME
                     slots.append((len(hashes), "name:" + bare))
                 hashes.append(h)
                 ended, number = ends, kind == 1
-        return np.array(hashes, np.uint64), slots
+        return np.array(hashes, np.uint64), slots, starts
 
 
 def _hits(hashes: np.ndarray, length: int) -> np.ndarray:
     return windows(hashes, length, MULTIPLIERS[1]) if len(hashes) else np.empty(0, np.uint64)
 
 
+def _templates(hashes: np.ndarray, slots: list[tuple[int, str]], starts: list[tuple[int, str]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]]:
+    """Positions and hashes of the windows of each template, with its slots: all of the
+    first one's, of the others those that differ from it."""
+    found = _hits(hashes, length)
+    yield np.arange(len(found)), found, slots
+    if not len(found):
+        return
+    inside = {v for _, v in slots}
+    known = [x for x in starts if x[1] in inside]
+    for names in [starts] + [known] * (len(known) < len(starts)):
+        if names:
+            at = [a for a, _ in names]
+            changed = hashes.copy()
+            changed[at] = NAME
+            steps = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(steps, np.maximum(np.array(at) - length + 1, 0), 1)
+            np.add.at(steps, np.array(at) + 1, -1)
+            places = np.flatnonzero(np.cumsum(steps)[: len(found)])
+            yield places, _hits(changed, length)[places], sorted(slots + names)
+
+
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, least: int) -> DataFrame:
     """template, h, length, item_pos, n_windows and slots of each window of each distinct
     template; items says which items have it."""
@@ -107,14 +135,14 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
         for b in batches:
             rows = []
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
-                hashes, slots = canon.of(text or "")
+                hashes, slots, starts = canon.of(text or "")
                 if len(hashes) < least:
                     continue
                 length = min(window, len(hashes))
                 name = xxhash.xxh3_64_intdigest(hashes.tobytes() + repr(slots).encode()) - 2**63
-                found = _hits(hashes, length).view(np.int64).tolist()
-                for p, h in enumerate(found):
-                    rows.append((item, name, h, length, p, len(found), [{"at": a - p, "value": v} for a, v in slots if p <= a < p + length]))
+                for places, found, filled in _templates(hashes, slots, starts, length):
+                    for p, h in zip(places.tolist(), found.view(np.int64).tolist()):
+                        rows.append((item, name, h, length, p, len(hashes) - length + 1, [{"at": a - p, "value": v} for a, v in filled if p <= a < p + length]))
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [b.schema.field("item_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["item_id", "template", "h", "length", "item_pos", "n_windows", "item_slots"])
@@ -148,12 +176,14 @@ def document_hits(docs: DataFrame, block: dict[int, np.ndarray], id_col: str, te
         for b in batches:
             ids, keys, rows = b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), []
             for i, text in enumerate(b.column("text")):
-                hashes, slots = canon.of(text.as_py() or "")
+                hashes, slots, starts = canon.of(text.as_py() or "")
                 for length, wanted in sent.value.items():
-                    found = _hits(hashes, length).view(np.int64)
-                    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                    for p in np.flatnonzero(wanted[at] == found).tolist() if len(found) else ():
-                        rows.append((keys[i], ids[i], int(found[p]), length, p, [{"at": a - p, "value": v} for a, v in slots if p <= a < p + length]))
+                    for places, found, filled in _templates(hashes, slots, starts, length):
+                        found = found.view(np.int64)
+                        at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                        for j in np.flatnonzero(wanted[at] == found).tolist() if len(found) else ():
+                            p = int(places[j])
+                            rows.append((keys[i], ids[i], int(found[j]), length, p, [{"at": a - p, "value": v} for a, v in filled if p <= a < p + length]))
             cols = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), b.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["row_key", "doc_id", "h", "length", "doc_pos", "doc_slots"])
@@ -179,9 +209,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     lined = ["row_key", "doc_id", "template", "item_id", "n_windows", "diagonal"]
     # slots along one alignment: a value of the item that stands for two of the document speaks against it
     pairs = met.select(*lined, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*lined, F.col("s.item_slots.value").alias("theirs"), F.col("s.doc_slots.value").alias("ours"))
-    torn = pairs.groupBy(*lined, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b")).where("a <> b or split_part(a, ':', 1) <> split_part(theirs, ':', 1)").select("row_key", "template", "diagonal").distinct()
+    torn = pairs.groupBy(*lined, "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b")).where("a <> b or split_part(a, ':', 1) <> split_part(theirs, ':', 1)").groupBy("row_key", "template", "diagonal").agg(F.collect_set("theirs").alias("torn"))
     torn = materialize(torn, "bench-torn")
-    good = met.join(torn, ["row_key", "template", "diagonal"], "left_anti")
+    # only the windows that hold such a value are dropped
+    good = met.join(torn, ["row_key", "template", "diagonal"], "left").where("torn is null or not arrays_overlap(torn, item_slots.value)")
     covered = good.groupBy("row_key", "doc_id", "template", "item_id", "n_windows").agg(F.count_distinct("item_pos").alias("n"))
     return covered.withColumn("share", F.col("n") / F.col("n_windows")).where(F.col("share") >= share).select("row_key", "doc_id", "template", "item_id", "share")
 

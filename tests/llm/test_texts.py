@@ -118,6 +118,19 @@ def test_decontamination(spark):
     assert decontaminate.judge(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_names_at_sentence_starts(spark):
+    one = "Tom has 12 red apples in a basket. Anna gives Tom 5 more apples. Tom then eats 3 of them. How many apples are left?"
+    two = "In a school 2 boys have 2 apples each and they put all of them into the big basket that their teacher brought"
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    asked = one.replace("Tom", "Luke").replace("Anna", "Maria").replace("12", "40").replace("5", "9").replace("3", "7")
+    inside = "Yesterday " + asked
+    torn = asked.replace("gives Luke", "gives Peter").replace("Luke then eats 7 of them", "Paul now takes 7 of those")
+    texts = [asked, "Before.\n" + asked + " After", two.replace("2 boys have 2", "3 boys have 4"), inside, torn, "How many pears are left? Nobody knows it yet. Tom has 12 red pears in a bag."]
+    got = {r["doc_id"]: r for r in decontaminate.judge(documents(spark, texts), bench).collect()}
+    assert [got[i]["_contaminated"] for i in range(6)] == [True, True, True, True, False, False]
+    assert got[0]["_share"] == 1.0 and got[2]["_item_id"] == 2
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     texts = random_texts(60, seed=9, words=60, near=0)
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:20])], "item_id long, text string")
