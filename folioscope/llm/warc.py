@@ -24,6 +24,7 @@ Defined cases
     * null html: an empty payload. null url: an empty WARC-Target-URI.
     * null page_id: never a revisit and never referred to, always ``response``.
     * repeated page_ids with equal payloads at the smallest id: each is ``response``.
+    * repeated page_ids with other payloads: each row is judged by its own payload.
     * payloads under ``min_bytes``: always ``response``.
     * empty table: an empty archive and an empty result.
     * extra columns are ignored.
@@ -108,10 +109,21 @@ def record_head(page_id: int | None, url: str | None, size: int, digest: str, re
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http, record_id
 
 
+def _in_hex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests as Spark's sha1 writes them."""
+    for b in batches:
+        made = [base64.b32decode(x).hex() for x in b.column("payload_digest").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("payload_bytes").cast(pa.int32()), pa.array(made, pa.string()), b.column("refers_to")], names=["page_id", "payload_bytes", "hex", "refers_to"])
+
+
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the archive table to the shared folder; returns it."""
-    decided = materialize(decide(pages, id_col, payload_col, min_bytes).where("refers_to is not null").select("page_id", "refers_to").distinct(), "warc-revisits")
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("payload")).join(decided, "page_id", "left")
+    revisits = decide(pages, id_col, payload_col, min_bytes).where("refers_to is not null").distinct()
+    decided = materialize(revisits.mapInArrow(_in_hex, "page_id long, payload_bytes int, hex string, refers_to long"), "warc-revisits")
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("payload"))
+    # by payload too: rows of one page_id may differ in it
+    payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
+    rows = rows.withColumns({"payload_bytes": F.octet_length(payload), "hex": F.sha1(payload)}).join(decided, ["page_id", "payload_bytes", "hex"], "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():

@@ -93,6 +93,15 @@ def test_warc_min_bytes_empty_and_files(spark, tmp_path):
     assert seen == 12
 
 
+def test_warc_repeated_ids_with_other_payloads(spark):
+    rows = [(3, "u", "X"), (7, "u", "X"), (7, "u", "Y"), (4, "u", "Z"), (7, "u", "Z"), (7, "u", None), (1, "u", ""), (7, "u", "X")]
+    got = warc.read_archive(warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    name = {base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(): t for t in ("X", "Y", "Z", "")}
+    want = [(3, "X", None, 1), (7, "X", 3, 0), (7, "X", 3, 0), (7, "Y", None, 1), (4, "Z", None, 1), (7, "Z", 4, 0), (7, "", 1, 0), (1, "", None, 0)]
+    assert sorted([(r["page_id"], name[r["payload_digest"]], r["refers_to"], r["stored_bytes"]) for r in got], key=str) == sorted(want, key=str)
+    assert all(r["intact"] for r in got)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "é🦊"), (1, 3, "ann", None), (1, None, None, "lost"), (2, 0, "system", "only"), (None, 0, "ann", "x"), (None, 0, "ann", "y"), (3, 0, "a<b>\n", "q"), (3, 0, "a<b>\n", "q")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("perspective", F.lit("x"))
