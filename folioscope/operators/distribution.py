@@ -32,25 +32,25 @@ def reuse(events: DataFrame, key: list[str]) -> DataFrame:
     return each.groupBy(*key, "citation_index").agg(F.count(F.lit(1)).alias("num_claims"), F.count_distinct("section").alias("num_sections"))
 
 
-def ranked_reuse(events: DataFrame, key: list[str]) -> DataFrame:
-    """``reuse`` with the rank in each sample."""
+def ranked_reuse(events: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The first ``n`` of ``reuse`` in each sample, with their rank."""
     order = [F.desc("num_claims"), *index_order()]
     used = reuse(events, key)
     if key:
-        return used.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    top = used.orderBy(*order).limit(20)
+        return used.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= n)
+    top = used.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def top_reuse(events: DataFrame, key: list[str], n: int = 20) -> DataFrame:
-    return ranked_reuse(events, key).where(F.col("rank") <= n)
+    return ranked_reuse(events, key, n)
 
 
 def top_share(events: DataFrame, key: list[str]) -> DataFrame:
     """Shares of mentions of the most cited index and of the five most cited ones."""
     used = reuse(events, key)
     total = used.groupBy(*key).agg(F.sum("num_claims").alias("total_citation_mentions"), F.count(F.lit(1)).alias("num_unique_citation_indices"), F.max("num_claims").alias("top"))
-    five = ranked_reuse(events, key).where("rank <= 5").groupBy(*key).agg(F.sum("num_claims").alias("top_5"))
+    five = ranked_reuse(events, key, 5).groupBy(*key).agg(F.sum("num_claims").alias("top_5"))
     joined = total.join(five, key) if key else total.crossJoin(five)  # one row each
     whole = F.col("total_citation_mentions")
     return joined.select(*key, whole, "num_unique_citation_indices", ratio(F.col("top"), whole).alias("top_1_citation_mention_share"), ratio(F.col("top_5"), whole).alias("top_5_citation_mention_share"))

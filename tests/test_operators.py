@@ -117,6 +117,14 @@ def test_report(spark):
     assert rows[2]["total_cited_claims"] == 0 and rows[2]["section_citation_coverage_ratio"] == 0
 
 
+def test_top_reuse_of_more_than_20(spark):
+    found = spark.createDataFrame([("d", "A", [str(i) for i in range(1, k + 1)]) for k in range(1, 31)], "doc_id string, section string, indices array<string>")
+    for key in ([], KEY):
+        for n in (5, 25):
+            got = [(r["rank"], r["citation_index"], r["num_claims"]) for r in distribution.top_reuse(found, key, n).orderBy("rank").collect()]
+            assert got == [(i, str(i), 31 - i) for i in range(1, n + 1)]
+
+
 def chosen(spark):
     r = random.Random(2)
     text = "\n\n".join(f"# S{i % 5}\nIn step {i} {LONG} number {i} [{', '.join(str(r.randint(1, 40)) for _ in range(r.randint(1, 9)))}]." for i in range(120))
