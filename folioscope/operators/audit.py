@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.judged import CRITERIA
 from ..functions.text import word_count
 
 #: What the audit looks for.
@@ -26,9 +27,7 @@ METHODOLOGY = {
     "inclusion_exclusion": r"\b(?:inclusion criteria|exclusion criteria|eligibility criteria|inclusion and exclusion)\b",
     "retrieval_cutoff": r"\b(?:search cutoff|retrieval cutoff|cutoff date|search conducted|last searched)\b",
 }
-#: The criteria of the two capped families.
-TSQ = ["Research-Space Coverage", "Taxonomy Clarity and Boundary Control", "Survey Organization and Functional Coherence", "Synthesis Insight and Gap Analysis"]
-HDQ = ["Multi-Level Goal Alignment", "Paragraph Argument Progression", "Atomic Claim Specificity and Technical Concreteness", "Local Synthesis and Non-Enumerative Writing"]
+TSQ, HDQ = CRITERIA["TSQ"], CRITERIA["HDQ"]
 
 
 def audit_counts(docs: DataFrame, key: list[str], text: str = "md") -> DataFrame:

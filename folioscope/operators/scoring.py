@@ -14,7 +14,6 @@ FAMILIES = {
 }
 PUBLISHED_SCHEMA = "Category string, Method string, " + ", ".join(f"{c} double" for f, cs in FAMILIES.items() for c in [*cs, f"{f}_Avg"]) + ", Total_Avg double"
 LOWEST, HIGHEST = 1, 5
-DIAGNOSTIC_LEVELS = ["none", "mild", "moderate", "severe"]
 
 
 def clip(c: Column) -> Column:
@@ -38,11 +37,6 @@ def coerce(raw: Column, family: Column, is_text: Column) -> Column:
     return F.when(family.isin("BSC", "MAR"), coerce_strict(raw, is_text)).otherwise(coerce_lenient(raw))
 
 
-def diagnostic(c: Column) -> Column:
-    level = F.lower(F.trim(F.coalesce(c, F.lit("none"))))
-    return F.when(level.isin(DIAGNOSTIC_LEVELS), level).otherwise(F.lit("none"))
-
-
 def subtotals(scores: DataFrame, key: list[str]) -> DataFrame:
     """Per family the sum of its criteria, of 20."""
     return scores.groupBy(*key, "family").agg(F.sum("score").alias("raw_20"))
