@@ -70,12 +70,23 @@ def with_evidence_ids(claims: DataFrame, bank_rows: DataFrame, key: list[str]) -
     return claims.join(names, key, "left").withColumn("citation_group", filled).drop("ids")
 
 
+#: Fields of a claim that its record leaves out, beside those that begin with an underscore.
+PRIVATE = ["paragraph_context", "claim_sentence", "section_path", "subsection_title", "selection_reason", "citation_evidence_preview"]
+
+
+def records(claims: DataFrame, bank_rows: DataFrame, key: list[str]) -> DataFrame:
+    """Claims as they are judged: with the bank's ids, without private and redundant fields."""
+    filled = with_evidence_ids(claims, bank_rows, key)
+    return filled.select(*[c for c in filled.columns if not c.startswith("_") and c not in PRIVATE])
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def card(metadata: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Evidence cards. ``metadata``: paper_id, doc VARIANT (null if missing or malformed);
+    """Evidence cards. ``metadata``: paper_id, doc VARIANT (null if missing or malformed) and, if
+    it is known, the path it was found at;
     ``parsed``: paper_id, abstract, title of the parsed paper. A title comes from the
     metadata first, an abstract from the parsed paper first."""
     both = metadata.join(parsed, "paper_id", "full_outer")
@@ -93,6 +104,7 @@ def card(metadata: DataFrame, parsed: DataFrame) -> DataFrame:
         get("$.method_details.method_name").alias("method_name"), get("$.method_details.architecture_description").alias("method_summary"), strings("$.method_details.innovations").alias("innovations"),
         strings("$.dataset_info.datasets_used_for_eval").alias("datasets_used_for_eval"), strings("$.evaluation.main_results").alias("main_results"), get("$.research_logic.motivation").alias("motivation"),
         get("$.research_logic.key_insights").alias("key_insights"), get("$.research_logic.conclusion").alias("conclusion"), get("$.evaluation.limitations").alias("limitations"), F.col("doc").isNotNull().alias("has_metadata"),
+        *(["path"] if "path" in both.columns else []),
     )
     out = out.withColumns({"has_abstract": F.col("abstract").isNotNull(), "has_title": F.col("title").isNotNull()})
     return out.withColumn("tier_rank", tier_rank(F.col("has_metadata"), F.col("has_abstract"), F.col("has_title"))).withColumn("evidence_tier", tier_name(F.col("tier_rank")))
@@ -114,7 +126,12 @@ def compact(cards: DataFrame) -> DataFrame:
     return cards.select(*texts, *[F.when(F.size(c) > 0, c).alias(n) for c, n in zip(lists, LIST_LIMITS)], *rest)
 
 
-def miss_counts(cards: DataFrame) -> DataFrame:
-    """How many papers lack what."""
+def miss_counts(cards: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """How many papers lack what. Metadata that were found but couldn't be read (``path`` is
+    there, ``has_metadata`` isn't) count apart from those that weren't found."""
     n = lambda c: F.count_if(c)
-    return cards.agg(F.count(F.lit(1)).alias("papers"), n(~F.col("has_metadata")).alias("without_metadata"), n(~F.col("has_abstract")).alias("without_abstract"), n(~F.col("has_title")).alias("without_title"), n(F.col("tier_rank") == 4).alias("without_evidence"))
+    found = F.col("path").isNotNull() if "path" in cards.columns else F.lit(False)
+    return cards.groupBy(*(key or [])).agg(
+        F.count(F.lit(1)).alias("papers"), n(~F.col("has_metadata") & ~found).alias("without_metadata"), n(~F.col("has_metadata") & found).alias("unreadable_metadata"), n(~F.col("has_abstract")).alias("without_abstract"),
+        n(~F.col("has_title")).alias("without_title"), n(F.col("tier_rank") == 4).alias("without_evidence"),
+    )

@@ -135,44 +135,121 @@ def selection_stats(pool: DataFrame, key: list[str], budget: Budget = Budget())
     return pool.groupBy(*key).applyInPandas(count, schema)
 
 
-def serialized(records: list[dict]) -> str:
-    """One compact JSON a line."""
-    return "".join(json.dumps(r, ensure_ascii=False, separators=(",", ":")) + "\n" for r in records)
+def serialized(record: dict) -> str:
+    """One compact line of JSON."""
+    return json.dumps(record, ensure_ascii=False, separators=(",", ":")) + "\n"
+
+
+class Fit:
+    """The records of one sample while claims are taken away. Lines of claims and of cards are
+    serialised once; what changes with every claim are two short lines and a few lengths."""
+
+    def __init__(self, rows: list[dict], meta: dict, balance: dict):
+        self.rows, self.meta, self.balance = sorted(rows, key=lambda r: r["order"]), meta, balance
+        self.weakest = sorted(self.rows, key=lambda r: (r["tier_rank"], r["citation_group_size"], r["claim_type"] in ("background", "other"), r["position"]))
+        self.cards = {p: c for r in rows for p, c in r["cards"].items()}
+        self.uses = Counter(p for r in rows for p in set(r["papers"]))
+        self.truncated = False
+        self.gone: set[int] = set()
+        for r in self.rows:
+            r["size"] = len(serialized(self._claim(r, {})))
+        self.claim_chars = sum(r["size"] for r in self.rows)
+        self.members = sum(len(r["body"].get("citation_group", ())) for r in self.rows)
+        self.card_size = {p: len(serialized(self._entry(p, ""))) for p in self.cards}  # with a comma in place of the line's end
+        self.card_chars = sum(self.card_size[p] for p in self.uses)
+
+    @staticmethod
+    def _claim(r: dict, ids: dict[str, str]) -> dict:
+        group = [m | {"evidence_ref_id": ids.get(m["paper_id"], "")} for m in r["body"].get("citation_group", ())]
+        return r["body"] | ({"citation_group": group} if "citation_group" in r["body"] else {})
+
+    def _entry(self, paper: str, ref: str) -> dict:
+        return {"evidence_ref_id": ref, "paper_id": paper, "evidence_card": self.cards[paper]}
+
+    def left(self) -> list[dict]:
+        return [r for r in self.rows if id(r) not in self.gone]
+
+    def ids(self) -> dict[str, str]:
+        return {p: f"E{i:03d}" for i, p in enumerate(sorted(self.uses), 1)}
+
+    def summaries(self) -> tuple[dict, dict]:
+        """The first and the last record. Only some of their figures follow the claims that went."""
+        left = self.left()
+        n, multi = len(left), sum(r["citation_mode"] == "group" for r in left)
+        single, share = sum(r["citation_mode"] == "single" for r in left), round(multi / max(1, n), 4)
+        meta = self.meta | {"num_selected_claims": n, "num_selected_single_claims": single, "num_selected_multi_claims": multi, "multi_citation_claim_ratio_selected": share, "num_selected_papers": len(self.uses), "truncated_to_char_limit": self.truncated}
+        balance = self.balance | {"selected_claims": n, "selected_single_citation_claims": single, "selected_multi_citation_claims": multi, "multi_citation_claim_ratio_selected": share, "num_unique_selected_papers": len(self.uses)}
+        if self.truncated:
+            count = lambda f: dict(Counter(r[f] for r in left))
+            others = sum(r["claim_type"] == "other" for r in left)
+            balance |= {"citation_group_size_distribution_selected": count("size_bin"), "claim_type_distribution_selected": count("claim_type"), "selected_other_claims": others, "selected_other_claim_ratio": round(others / max(1, n), 4), "contexts_per_section_selected": count("section_title")}
+        return meta, balance
+
+    def _bank(self, ids: dict[str, str]) -> dict:
+        return {"record_type": "evidence_card_bank", "num_papers": len(ids), "papers": [self._entry(p, i) for p, i in ids.items()]}
+
+    def size(self) -> int:
+        """How long ``text`` is, without writing it."""
+        ids = self.ids()
+        wide = sum(map(len, ids.values()))
+        inside = sum(len(ids[m["paper_id"]]) for r in self.left() for m in r["body"].get("citation_group", ()) if m["paper_id"] in ids) if len(ids) > 999 else 4 * self.members
+        shell = len(serialized(self._bank({}) | {"num_papers": len(ids)})) + self.card_chars - (len(ids) > 0)
+        return sum(len(serialized(x)) for x in self.summaries()) + self.claim_chars + inside + shell + wide
+
+    def text(self) -> str:
+        ids = self.ids()
+        meta, balance = self.summaries()
+        return "".join(map(serialized, [meta, self._bank(ids), *[self._claim(r, ids) for r in self.left()], balance]))
+
+    def drop(self) -> bool:
+        """Take the weakest claim away; false if none is left."""
+        if not self.weakest:
+            return False
+        r = self.weakest.pop()
+        self.gone.add(id(r))
+        self.truncated = True
+        self.claim_chars -= r["size"]
+        self.members -= len(r["body"].get("citation_group", ()))
+        for p in set(r["papers"]):
+            self.uses[p] -= 1
+            if not self.uses[p]:
+                del self.uses[p]
+                self.card_chars -= self.card_size[p]
+        return True
 
 
 def fit_budget(records: DataFrame, key: list[str], limit: int) -> DataFrame:
-    """key, n_claims, n_papers, n_chars, truncated, jsonl: the records of each sample within
-    ``limit`` characters. ``records``: key, claim_id, tier_rank, citation_group_size,
-    claim_type, position, papers, body (the claim as JSON), and cards (map from paper to
-    its card as JSON).
+    """key, n_claims, n_papers, n_chars, truncated, status, jsonl: the records of each sample
+    within ``limit`` characters, each a line: ``meta``, the bank of cards, the claims in order
+    of ``pick`` (else of position) and ``balance``. ``records``: key, claim_id, tier_rank,
+    citation_group_size, citation_mode, claim_type, section_title, position, papers, body (the
+    claim as JSON) and cards (map from paper to its card as JSON); meta and balance (JSON, the
+    same in every row of a sample) are optional.
 
     While the text is too long, the claim with the weakest evidence, the largest group,
     a weak type and the latest position goes, and with it papers that nothing else
-    cites; the bank is numbered anew. What can't fit even without claims has null jsonl.
+    cites; the bank is numbered anew. A sample that can't fit even without claims has null
+    jsonl and the status ``cannot_fit``; one whose records can't be read ``malformed``.
     """
-    schema = T.StructType([*_key_fields(records, key), T.StructField("n_claims", T.IntegerType()), T.StructField("n_papers", T.IntegerType()), T.StructField("n_chars", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("jsonl", T.StringType())])
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(group.to_dict("records"), key=lambda r: (r["tier_rank"], r["citation_group_size"], r["claim_type"] in ("background", "other"), r["position"]))
-        cards = {p: c for r in left for p, c in dict(r["cards"]).items()}
-        cut = False
-        while True:
-            papers = sorted({p for r in left for p in r["papers"]})
-            ids = {p: f"E{i:03d}" for i, p in enumerate(papers, 1)}
-            bank = {"record_type": "evidence_card_bank", "num_papers": len(papers), "papers": [{"evidence_ref_id": ids[p], "paper_id": p, "evidence_card": json.loads(cards[p])} for p in papers]}
-            claims = []
-            for r in sorted(left, key=lambda r: r["position"]):
-                body = json.loads(r["body"])
-                for member in body.get("citation_group", []):
-                    member["evidence_ref_id"] = ids.get(member["paper_id"], "")
-                claims.append(body)
-            singles = sum(len(r["papers"]) == 1 for r in left)
-            balance = {"record_type": "balance_summary", "selected_claims": len(left), "selected_single_citation_claims": singles, "selected_multi_citation_claims": len(left) - singles, "num_unique_selected_papers": len(papers)}
-            text = serialized([{"record_type": "survey_meta", "num_selected_claims": len(left), "num_selected_papers": len(papers), "truncated_to_char_limit": cut}, bank, *claims, balance])
-            if len(text) <= limit or not left:
-                fits = len(text) <= limit
-                return pd.DataFrame([(*(group[k].iloc[0] for k in key), len(left), len(papers), len(text), cut, text if fits else None)], columns=[f.name for f in schema])
-            left.pop()
-            cut = True
-
-    return records.groupBy(*key).applyInPandas(fit, schema)
+    schema = T.StructType([*_key_fields(records, key), *[T.StructField(n, t) for n, t in (("n_claims", T.IntegerType()), ("n_papers", T.IntegerType()), ("n_chars", T.LongType()), ("truncated", T.BooleanType()), ("status", T.StringType()), ("jsonl", T.StringType()))]])
+
+    def fitted(rows: list[dict]) -> tuple:
+        first = rows[0]
+        given = {n: json.loads(first.get(n) or "{}") for n in ("meta", "balance")}
+        for r in rows:
+            r |= {"order": r.get("pick", r["position"]), "papers": list(r["papers"]), "body": json.loads(r["body"]), "cards": {p: json.loads(c) for p, c in dict(r["cards"]).items()}}
+        fit = Fit(rows, {"record_type": "survey_meta"} | given["meta"], {"record_type": "balance_summary"} | given["balance"])
+        while fit.size() > limit:
+            if not fit.drop():
+                return 0, 0, fit.size(), True, "cannot_fit", None
+        text = fit.text()
+        return len(fit.left()), len(fit.uses), len(text), fit.truncated, "ok", text
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            result = fitted(group.to_dict("records"))
+        except (ValueError, TypeError, KeyError):
+            result = (0, 0, 0, False, "malformed", None)
+        return pd.DataFrame([(*(group[k].iloc[0] for k in key), *result)], columns=[f.name for f in schema])
+
+    return records.withColumn("size_bin", size_bin(F.col("citation_group_size"))).groupBy(*key).applyInPandas(run, schema)
