@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import normalize_id
 from ..operators.pages import natural_number
 from ..operators.scoring import PUBLISHED_SCHEMA
+from . import layout
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,16 +81,34 @@ def load_metadata(found: DataFrame, texts: DataFrame) -> DataFrame:
     return found.join(texts, "path", "left").select("paper_id", "path", F.try_parse_json("text").alias("doc"))
 
 
-def parsed_candidates(papers: DataFrame) -> DataFrame:
-    """paper_id, rank, path: where a parsed text may lie, best first (papers: paper_id, names)."""
-    places = ["%s/auto/%s.md", "%s/%s/auto/%s.md", "%s/%s.md", "%s.md"]
-    each = papers.select("paper_id", F.posexplode("names").alias("i", "name"))
-    paths = F.array(*[F.format_string(p, *[F.col("name")] * p.count("%s")) for p in places])
-    return each.select("paper_id", "i", F.posexplode(paths).alias("j", "path")).select("paper_id", (F.col("i") * len(places) + F.col("j")).alias("rank"), "path")
-
-
-def best_parsed(candidates: DataFrame, files: DataFrame) -> DataFrame:
-    return candidates.join(files, "path").groupBy("paper_id").agg(F.min_by("path", "rank").alias("path"))
+def month_folder(paper: Column) -> Column:
+    """``20YY_new/20YY-MM``, where papers of a month lie."""
+    year = F.concat(F.lit("20"), F.substring(paper, 1, 2))
+    return F.concat(year, F.lit("_new/"), year, F.lit("-"), F.substring(paper, 3, 2))
+
+
+def best_parsed(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """paper_id, path of the parsed text. ``papers``: paper_id, names (``base_names``) and
+    file_path, where the metadata say it lies (null or empty: nowhere); ``files``: path.
+
+    A Markdown file that the metadata name comes first, then the first one in a folder they name.
+    Then, in the paper's month, ``<name>/auto/<name>.md`` and ``<name>/<name>/auto/<name>.md``
+    for each name in order; then the folders with the paper's id in their name, in order,
+    in each first the same two places, then any ``*/auto/*.md`` and any ``auto/*.md``.
+    Files meet papers by equal paths, by (month, folder) and by (month, id in the folder).
+    """
+    md = files.where(F.lower("path").endswith(".md")).select("path", F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder")).distinct()
+    named = papers.select("paper_id", F.nullif(F.regexp_replace("file_path", "/+$", ""), F.lit("")).alias("at")).where("at is not null")
+    given = named.join(md, F.col("at") == F.col("path")).select("paper_id", "path", F.lit(0).alias("a"), F.lit(0).alias("i"), F.lit("").alias("d"), F.lit(0).alias("k"))
+    inside = named.join(md, F.col("at") == F.col("folder")).select("paper_id", "path", F.lit(1).alias("a"), F.lit(0).alias("i"), F.lit("").alias("d"), F.lit(0).alias("k"))
+    split = F.regexp_extract("path", r"^(?:.*/)?(\d{4}_new/\d{4}-\d{2})/([^/]+)/((?:[^/]+/)?)auto/([^/]+)\.md$", 0)
+    parts = md.where(split != "").select("path", *[F.regexp_extract("path", r"^(?:.*/)?(\d{4}_new/\d{4}-\d{2})/([^/]+)/((?:[^/]+/)?)auto/([^/]+)\.md$", g).alias(n) for g, n in ((1, "month"), (2, "d"), (3, "sub"), (4, "name"))])
+    same = F.col("name") == F.col("d")
+    parts = parts.withColumn("k", F.when(same & (F.col("sub") == ""), 0).when(same & (F.col("sub") == F.concat("d", F.lit("/"))), 1).when(F.col("sub") != "", 2).otherwise(3))
+    by_name = papers.select("paper_id", month_folder(F.col("paper_id")).alias("month"), F.posexplode("names").alias("i", "d")).join(parts.where("k < 2"), ["month", "d"]).select("paper_id", "path", F.lit(2).alias("a"), "i", F.lit("").alias("d"), "k")
+    ids = parts.withColumn("paper_id", F.explode(F.array_distinct(F.regexp_extract_all("d", F.lit(r"(?=(\d{4}\.\d{4,5}))"), F.lit(1)))))
+    by_id = ids.join(papers.select("paper_id", month_folder(F.col("paper_id")).alias("month")), ["paper_id", "month"]).select("paper_id", "path", F.lit(3).alias("a"), F.lit(0).alias("i"), "d", "k")
+    return given.unionByName(inside).unionByName(by_name).unionByName(by_id).groupBy("paper_id").agg(F.min_by("path", F.struct("a", "i", "d", "k", "path")).alias("path"))
 
 
 def choose_markdown(files: DataFrame, key: list[str]) -> DataFrame:
@@ -101,13 +120,20 @@ def choose_markdown(files: DataFrame, key: list[str]) -> DataFrame:
 IMAGES = ["png", "jpg", "jpeg", "webp"]
 
 
-def page_images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """path, page_no, length and, if asked for, content, in natural order of names."""
+def page_order(path: Column, natural: bool = True) -> list[Column]:
+    """The order of pages: by the first number in the name and then by name, or by name alone."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return [natural_number(stem), name] if natural else [name]
+
+
+def page_images(spark: SparkSession, path: str, content: bool = False, natural: bool = True) -> DataFrame:
+    """path, page_no, length and, if asked for, content. TSQ and HDQ look at images of all
+    kinds in natural order, MAR at PNGs in order of their names (``natural=False``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    fit = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(IMAGES))
+    fit = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(IMAGES if natural else ["png"]))
     folder = F.regexp_extract("path", "^(.*)/", 1)
-    ranked = fit.withColumn("page_no", F.row_number().over(Window.partitionBy(folder).orderBy(natural_number(stem), "path")))
+    ranked = fit.withColumn("page_no", F.row_number().over(Window.partitionBy(folder).orderBy(*page_order(F.col("path"), natural))))
     return ranked.select("path", "page_no", "length", *(["content"] if content else []))
 
 
@@ -115,6 +141,24 @@ def published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=PUBLISHED_SCHEMA)
 
 
+def references_of(files: DataFrame) -> DataFrame:
+    """method, topic_id, text of reference files (path, text) named ``<method>/ref_<topic>.json``."""
+    named = files.select(layout.method_of(F.col("path")).alias("method"), layout.topic_of(F.col("path")).alias("topic_id"), "text")
+    return named.where("method is not null and topic_id is not null")
+
+
+def manuscripts_of(files: DataFrame) -> DataFrame:
+    """method, topic_id, md of files (path, text) named ``<method>/<topic>.md``."""
+    topic = F.nullif(F.regexp_extract("path", r"/(\d{3})\.md$", 1), F.lit(""))
+    return files.select(layout.method_of(F.col("path")).alias("method"), topic.alias("topic_id"), F.col("text").alias("md")).where("topic_id is not null")
+
+
+def discovered(files: DataFrame) -> DataFrame:
+    """method, topic_id of the reference files (path) among the given ones."""
+    found = files.select(layout.method_of(F.col("path")).alias("method"), layout.topic_of(F.col("path")).alias("topic_id"))
+    return found.where("method is not null and topic_id is not null").distinct()
+
+
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """topic_id, topic from a JSON list or lines of objects."""
     return spark.read.json(path, schema="topic_id string, topic string", multiLine=True)
