@@ -271,5 +271,4 @@ SELECT method, topic_id, api_mode, coalesce(n.score, o.score) AS score FROM o FU
     "topic_titles": "SELECT lpad(CAST(s_nationkey * 2 AS VARCHAR), 3, '0') AS topic_id, s_suppkey, coalesce(n_name, 'Topic ' || lpad(CAST(s_nationkey * 2 AS VARCHAR), 3, '0')) AS topic FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey * 2",
     "batch_summary": "SELECT CASE WHEN o_orderstatus = 'F' THEN 'ok' ELSE 'error' END AS status, count(*) AS samples FROM orders GROUP BY ALL",
     "windowed_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "violations": "SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS rule, '' AS claim_id WHERE false",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, claims, ids, judged, text
+from ..functions import citations, claims, ids, text
 from ..operators import audit, distribution, events, evidence, pages, sampling, scanner, scoring, validate
 from ..sources.manuscripts import bulk_events, derived_lines, derived_manuscripts, table
 from ..sources.shared import cut
@@ -330,29 +330,16 @@ def budget_fit(spark, d):
     return sampling.fit_budget(rows.withColumns({"cards": cards, "body": body}), DOC, limit=4000).drop("jsonl")
 
 
-def violations(spark, d):
+def selection_violations(spark, d):
+    """None: what is selected obeys all rules. ``violations`` has planted faults."""
     chosen = cut(_selected(spark, d), "selected-claims")
     used = cut(evidence.bank(chosen, evidence.inverse_index(_ref_map(spark, d), DOC), _cards(spark, d), DOC), "evidence-bank")
     return validate.violations(evidence.with_evidence_ids(chosen, used, DOC), used, DOC)
 
 
-def json_recover(spark, d):
-    k = F.col("o_orderkey")
-    names = {f: c for f, c in judged.CRITERIA.items()}
-    family = F.array(*[F.lit(f) for f in names])[(k % 4).cast("int")]
-    parts = [F.concat(F.lit('{"' + f + '": {'), F.concat_ws(", ", *[F.concat(F.lit(f'"{c}": {{"score": '), ((k + i) % 7).cast("string"), F.lit(', "rationale": "a {b} \\"c\\""}')) for i, c in enumerate(cs)]), F.lit("}}")) for f, cs in names.items()]
-    clean = F.array(*parts)[(k % 4).cast("int")]
-    way = F.col("o_custkey") % 5
-    raw = F.when(way == 0, clean).when(way == 1, F.concat(F.lit("```json\n"), clean, F.lit("\n```"))).when(way == 2, F.concat(F.lit("Here it is: "), clean, F.lit(" Done."))).when(way == 3, F.expr("substring(x, 1, length(x) - 1)")).otherwise(F.lit("no answer"))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", family.alias("family"), clean.alias("x")).select("o_orderkey", "family", raw.alias("raw_response"))
-    out = judged.raw_scores(rows, ["o_orderkey"])
-    out = out.withColumn("score", scoring.coerce(F.col("raw"), F.col("family"), F.col("is_text")))
-    return out.groupBy("family", "criterion", "rung", "score").agg(F.count(F.lit(1)).alias("n"))
-
-
 ALL = [
     citation_distribution, norm_ids, year_filter, sentence_split, clean_text, citation_extract, attached_clauses, citation_expand, line_scan, paragraphs, attach_citations, attach_counts,
     claim_type, group_bins, section_stats, section_coverage, citation_reuse_topk, top_share, repeated_groups, group_balance, largest_groups, skipped_lines, resolve_citations, evidence_tiers,
     claim_tiers, paper_inverse_index, claim_dedup, type_scope_hist, evidence_bank_ids, audit_counts, audit_flags, score_caps, score_coerce, family_means, subtotals, matched_subset, rank_systems,
-    score_upsert, page_sample, first_pages, input_anti_join, topic_titles, batch_summary, windowed_events, select_claims, budget_fit, violations, json_recover,
+    score_upsert, page_sample, first_pages, input_anti_join, topic_titles, batch_summary, windowed_events, select_claims, budget_fit, selection_violations,
 ]

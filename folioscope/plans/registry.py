@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles
+from . import oracles, parts, parts_sql
 from . import queries as q
 
 
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in q.ALL}
+    return {f.__name__: f for f in [*q.ALL, *parts.ALL]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ALL)
+    return oracles.ALL | parts_sql.ALL
