@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_steps: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: every node of an edge and the smallest node it reaches. Loops and
     edges with a null end are ignored."""
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = materialize(pairs, "edges")
     seen = None
-    for _ in range(most_steps):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-min")
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges-large")
@@ -34,6 +34,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_steps: int = 6
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components: no fixpoint")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
