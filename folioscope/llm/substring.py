@@ -3,13 +3,15 @@
 A window is ``window`` consecutive words of a document. A word goes if a window
 that covers it also starts in a document with a smaller doc_id.
 
-Level one looks at windows of about half that length. Not all of them: a window of
-full length holds ``window - half + 1`` of them, and the one with the smallest hash
-(the leftmost of equals) is its anchor, the same one wherever the window occurs. So
-only anchors, about a quarter of all positions, are counted, and a full window can
-repeat only if its anchor does. Windows repeated at that length alone are extended
-to twice the length (cut to ``window``) and counted again; those whose sequence
-starts in a smaller document are what goes. Lengths under 4 have one level only.
+Lengths double from level to level and end with ``window`` (``levels``: 7, 13 or 7, 13,
+25, 50, 100). A level counts windows of its length that may repeat; those repeated at
+that length alone are extended to the next one, until no candidates survive or the
+window is reached. Not all windows of a length are counted: a window of the next
+length holds several of them, and the one with the smallest hash (the leftmost of
+equals) is its anchor, the same one wherever it occurs. So a level looks only at
+anchors of the next level's windows, and of these only at those whose own anchor
+repeated at the level before: whatever repeats has an anchor that does. Windows of the last
+level whose sequence starts in a smaller document are what goes.
 
 Copies come first: documents with the same words are one content, stood for by the
 one with the smallest doc_id. Only contents are compared, and a copy of a smaller
@@ -24,8 +26,8 @@ contents by 128.
 Defined cases
     * null text: no words. Texts with fewer words than a window: nothing goes.
     * null doc_id: never a source, and nothing is removed from it.
-    * repeated rows: equal doc_ids are one document, so a repeated row removes
-      nothing from its twin; each row gets a result of its own.
+    * repeated doc_ids are one document: its rows remove nothing from each other, and
+      each row, also one that has the same words as another, gets its own result.
     * empty table: an empty result. Extra columns are ignored.
 """
 
@@ -40,12 +42,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, row_key, small_batches, trimmed
 
 #: Odd multipliers that combine word hashes to window hashes.
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 #: Anchors are sent on in batches of about this many.
 FLUSH = 200_000
+#: The first level's length is at most this.
+FIRST = 8
+
+
+def levels(window: int) -> list[int]:
+    """The windows' lengths, level by level: each at most twice the one before."""
+    found = [window]
+    while found[0] > FIRST:
+        found.insert(0, (found[0] + 1) // 2)
+    return found
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -84,7 +96,7 @@ def anchors(hashes: np.ndarray, window: int, half: int) -> tuple[np.ndarray, np.
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return own.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return own.withColumn("row_key", row_key("doc_id", "text"))
 
 
 def content(words: list[bytes]) -> tuple[int, int]:
@@ -93,13 +105,14 @@ def content(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-def anchor_rows(own: DataFrame, window: int, half: int) -> DataFrame:
-    """h, c, pos of every distinct anchor position, c the content's first half; and for
-    each row with a window one row with pos -1, h the second half, doc_id and row_key."""
+def anchor_rows(own: DataFrame, window: int, length: int, after: int | None) -> DataFrame:
+    """The first level: h, c, pos of every distinct anchor position (every position without
+    a next level), c the content's first half; and for each row with a full window one row
+    with pos -1, h the second half, doc_id and row_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "c", "pos", "doc_id", "row_key"]
-        for b in batches:
+        for b in trimmed(batches):
             texts, ids, keys = b.column("text").cast(pa.large_binary()), b.column("doc_id").to_pylist(), b.column("row_key").to_pylist()
             hs, cs, ps, heads, size = [], [], [], [], 0
 
@@ -114,8 +127,11 @@ def anchor_rows(own: DataFrame, window: int, half: int) -> DataFrame:
                 if len(words) < window:
                     continue
                 one, two = content(words)
-                short, at = anchors(word_hashes(words), window, half)
-                at = np.unique(at)
+                if after:
+                    short, at = anchors(word_hashes(words), after, length)
+                    at = np.unique(at)
+                else:  # the only level counts full windows, below
+                    short, at = np.empty(0, np.uint64), np.empty(0, np.int64)
                 hs.append(short[at].view(np.int64))
                 cs.append(np.full(len(at), one, np.int64))
                 ps.append(at.astype(np.int32))
@@ -130,11 +146,13 @@ def anchor_rows(own: DataFrame, window: int, half: int) -> DataFrame:
     return own.where("doc_id is not null and text is not null").mapInArrow(run, "h long, c long, pos int, doc_id long, row_key long")
 
 
-def window_rows(own: DataFrame, alive: DataFrame, window: int, half: int) -> DataFrame:
-    """The hash (h, h2) of each full window whose anchor is alive, with where it is."""
+def window_rows(own: DataFrame, alive: DataFrame, before: int | None, length: int, after: int | None) -> DataFrame:
+    """A later level: the hash (h, h2) of each window of ``length`` whose anchor of the level
+    before is alive (of all, if there is none) and that is an anchor for the next
+    level (any, at the last), with where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             texts, ids, keys, alives = b.column("text").cast(pa.large_binary()), b.column("doc_id").to_pylist(), b.column("row_key").to_pylist(), b.column("alive")
             held: list[tuple[np.ndarray, ...]] = []
             size = 0
@@ -144,15 +162,18 @@ def window_rows(own: DataFrame, alive: DataFrame, window: int, half: int) -> Dat
 
             for i in range(len(texts)):
                 hashes = word_hashes(texts[i].as_py().split())
-                positions = alives[i].values.to_numpy(zero_copy_only=False)
-                if half < window:
-                    _, at = anchors(hashes, window, half)
+                if before:
+                    _, at = anchors(hashes, length, before)
                     living = np.zeros(len(hashes) + 1, bool)
-                    living[positions] = True
+                    living[alives[i].values.to_numpy(zero_copy_only=False)] = True
                     positions = np.flatnonzero(living[at])
+                else:
+                    positions = np.arange(len(hashes) - length + 1)
+                if after:
+                    positions = np.intersect1d(positions, anchors(hashes, after, length)[1])
                 n = len(positions)
-                one = windows(hashes, window, MULTIPLIERS[0])[positions].view(np.int64)
-                two = (windows(hashes, window, MULTIPLIERS[1])[positions] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                one = windows(hashes, length, MULTIPLIERS[0])[positions].view(np.int64)
+                two = (windows(hashes, length, MULTIPLIERS[1])[positions] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 held.append((one, two, np.full(n, ids[i], np.int64), np.full(n, keys[i], np.int64), positions.astype(np.int32)))
                 size += n
                 if size >= FLUSH:
@@ -172,26 +193,40 @@ def repeated(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
 def covered(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_key, starts: where windows begin that also start in a smaller document; null
     starts: the row is a copy of a smaller document."""
+    small_batches(docs.sparkSession)
     own = keyed(docs, id_col, text_col)
-    half = (window + 1) // 2 if window >= 4 else window
-    level = materialize(anchor_rows(own, window, half), "substring-anchors")
+    lengths = levels(window)
+    following = dict(zip(lengths, lengths[1:]))
+    level = materialize(anchor_rows(own, window, lengths[0], following.get(lengths[0])), "substring-anchors")
     heads = level.where("pos = -1").select("c", F.col("h").alias("c2"), "doc_id", "row_key")
     chosen = materialize(heads.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "row_key")).alias("rep")).select("c", "c2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.row_key").alias("rep_key")), "substring-contents")
-    copies = heads.join(chosen, ["c", "c2"]).where("doc_id > rep_id").select("row_key").distinct()
-
-    places = level.where("pos >= 0").select("h", "c", "pos")
-    again = materialize(repeated(places, ["h"], "c").select("h"), "substring-repeated")
-    alive = places.join(again, "h").groupBy("c").agg(F.collect_set("pos").alias("alive"))
-    alive = materialize(chosen.join(alive, "c").select(F.col("rep_key").alias("row_key"), "alive"), "substring-alive")
-    copies = materialize(copies, "substring-copies")
+    others = materialize(heads.join(chosen, ["c", "c2"]).where("row_key <> rep_key").select("row_key", "rep_key", (F.col("doc_id") > F.col("rep_id")).alias("copy")).distinct(), "substring-copies")
+
+    if len(lengths) == 1:
+        alive = chosen.select(F.col("rep_key").alias("row_key"), F.lit(None).cast("array<int>").alias("alive"))
+    else:
+        places = level.where("pos >= 0").select("h", "c", "pos")
+        again = materialize(repeated(places, ["h"], "c").select("h"), "substring-repeated")
+        alive = places.join(again, "h").groupBy("c").agg(F.collect_set("pos").alias("alive"))
+        alive = chosen.join(alive, "c").select(F.col("rep_key").alias("row_key"), "alive")
+    alive = materialize(alive, "substring-alive")
     discard(level)
 
-    full = materialize(window_rows(own, alive, window, half), "substring-windows")
-    again = materialize(repeated(full, ["h", "h2"], "doc_id"), "substring-repeated")
-    hits = full.join(again, ["h", "h2"]).where("doc_id > first").groupBy("row_key").agg(F.collect_set("pos").alias("starts"))
-    hits = materialize(hits, "substring-hits")
-    discard(full)
-    return hits.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>")))
+    before = lengths[0] if len(lengths) > 1 else None
+    for length in lengths[1:] or lengths:
+        full = materialize(window_rows(own, alive, before, length, following.get(length)), "substring-windows")
+        last = length == window
+        again = materialize(repeated(full, ["h", "h2"], "doc_id"), "substring-repeated")
+        hits = full.join(again, ["h", "h2"]).where("doc_id > first" if last else "true").groupBy("row_key").agg(F.collect_set("pos").alias("alive"))
+        hits = materialize(hits, "substring-hits")
+        discard(full, again, alive)
+        alive, before = hits, length
+        if not last and hits.isEmpty():
+            break  # no candidates survive; nothing repeats at the full length either
+    hits = alive.withColumnRenamed("alive", "starts")
+    twins = others.where("not copy").join(hits.withColumnRenamed("row_key", "rep_key"), "rep_key").select("row_key", "starts")
+    copies = others.where("copy").select("row_key", F.lit(None).cast("array<int>").alias("starts"))
+    return hits.unionByName(twins).unionByName(copies)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -201,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             total, gone, digests, kepts = [], [], [], []
             texts, starts, hit = b.column("text").cast(pa.large_binary()), b.column("starts"), b.column("hit").to_pylist()
             for i in range(len(texts)):
