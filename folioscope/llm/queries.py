@@ -146,14 +146,14 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') || '<|im_end|>' || chr(10) AS body,
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS body,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS k
   FROM conversations
 ), p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
 r AS (
   SELECT p.conv_id, p.perspective, t.k, t.body, t.who = p.perspective AS own,
     '<|im_start|>' || CASE WHEN t.who = 'system' THEN t.who WHEN t.who = p.perspective THEN 'assistant'
-      ELSE 'user name=' || translate(t.who, chr(10) || '<>', '') END || chr(10) AS head
+      ELSE 'user name=' || replace(replace(replace(replace(replace(t.who, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '&#10;'), chr(13), '&#13;') END || chr(10) AS head
   FROM p JOIN t ON p.conv_id = t.conv_id
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM r
