@@ -6,15 +6,20 @@ holds a count, the XOR of its digests and the XOR of their checks. The fingerpri
 is the cells in order, in base64. Sketches of two versions subtract cell by cell;
 what is left is peeled: a cell of count +1 or -1 whose check fits its digest gives a
 digest that one version alone has, and takes it out of the other tables. If cells
-are left, the pair is tried again with four times the cells and other hashes.
+are left, the pair is tried again with four times the cells and other hashes, until
+none are. A pair whose numbers of paragraphs alone differ by more than a sketch has cells
+can't be peeled and waits for a larger one.
 
 The likeness of two texts is the Jaccard similarity that the recovered digests
-imply: (a + b - d) / (a + b + d) of a and b paragraphs with d recovered.
+imply: (a + b - d) / (a + b + d) of a and b paragraphs with d recovered. Fingerprints have
+one size; pairs that needed larger sketches say so in ``cells_edited`` and ``cells_next``.
 
 The version compared with is an edit that takes its second half from the next
 document in descending order of doc_id, so each text is shuffled once, to its place
-in that order: by ranges of doc_id of even width, within which a window looks ahead;
-the last row of a range gets its neighbour by a join of range ends. DataFrame
+in that order: by ranges of doc_id, within which a window looks ahead; the last row of
+a range gets its neighbour by a join of range ends. Ranges lie between percentiles of the
+ids, so ids far apart or crowded don't matter; an id that many rows share, null included,
+is a range of its own, which is split by the hash that orders its rows. DataFrame
 functions only. All rounds of peeling group by document first, and the sketches
 come partitioned so: peeling moves nothing.
 
@@ -36,12 +41,12 @@ from .common import discard, materialize
 
 PIECE = 200
 #: Cells of each of the three tables in a fingerprint; what a retry multiplies them by.
-WIDTH, GROW, ATTEMPTS = 16, 4, 9
+WIDTH, GROW = 16, 4
 TABLES = 3
 #: Sweeps over the three tables before a pair counts as failed.
 SWEEPS = 4
-#: Rows of a range, and ranges of a range of ranges.
-RANGE, FAN = 256, 1024
+#: Rows of a range, percentiles that are asked for at most, and ranges of a range of ranges.
+RANGE, CUTS, FAN = 256, 4096, 1024
 
 
 def digests(text: Column) -> Column:
@@ -76,15 +81,40 @@ def _next_range(ranges: DataFrame) -> DataFrame:
     return found
 
 
+def range_number(own: DataFrame) -> Column:
+    """A number for each row, from its doc_id and the hash ``tie`` of its text: rows in order of
+    (doc_id descending, nulls last, tie) have falling numbers, each for some RANGE rows.
+
+    The percentiles (at most CUTS, so their list is bounded) are searched by halving; between
+    two of them ids are dealt out evenly, and rows of an id that is a percentile twice
+    or more, by their hash."""
+    total = own.count()
+    asked = max(1, min(CUTS, -(-total // RANGE)))
+    cuts = own.agg(F.percentile_approx("doc_id", [i / asked for i in range(asked + 1)], 20 * CUTS)).first()[0] or [0]
+    subs = max(1, -(-total // (asked * RANGE)))  # ranges between two percentiles
+    ties = max(1, -(-total // RANGE))  # ranges of one hot id, at most
+    array = "cast(split('" + ",".join(map(str, cuts)) + "', ',') as array<bigint>)"
+    steps, step = [], 1
+    while step <= len(cuts):
+        steps.insert(0, step)
+        step *= 2
+    # how many percentiles are at most doc_id
+    at = f"aggregate(array({', '.join(map(str, steps))}), 0, (n, s) -> if(n + s <= {len(cuts)} and get({array}, n + s - 1) <= doc_id, n + s, n))"
+    low, high = f"cast(coalesce(get({array}, cut - 1), doc_id) as double)", f"cast(coalesce(get({array}, cut), doc_id) as double)"
+    sub = f"cast(least({subs - 1}, greatest(0, floor((cast(doc_id as double) - {low}) / greatest(1, {high} - {low}) * {subs}))) as bigint)"
+    hot = f"(doc_id is null or (get({array}, cut - 1) = doc_id and get({array}, cut - 2) = doc_id))"
+    tie = f"cast(least({ties - 1}, greatest(0, floor((cast(tie as double) / 18446744073709551616 + 0.5) * {ties}))) as bigint)"
+    within = f"if({hot}, {ties - 1} - {tie}, {ties})"
+    made = f"if(doc_id is null, cast(-1 as bigint), cut * {subs} + {sub}) * {ties + 1} + {within}"
+    return F.expr(f"transform(array(cast(coalesce({at}, 0) as bigint)), whole -> transform(array(cast(whole as int)), cut -> {made})[0])[0]")
+
+
 def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """b, rn, doc_id, n_chars, edited_sha256, and the paragraph digests of the text (own),
     its edited version (edit) and the next document (next)."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    size = own.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high, n = size[0] or 0, size[1] or 0, size[2]
-    width = max(1, -(-(high - low + 1) * RANGE // max(n, 1)))
-    b = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    rows = own.withColumns({"b": b, "own": digests(F.col("text"))})
+    numbered = own.withColumn("tie", F.xxhash64("text"))
+    rows = numbered.withColumns({"b": range_number(own), "own": digests(F.col("text"))}).drop("tie")
     order = Window.partitionBy("b").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     placed = rows.withColumns({"rn": F.row_number().over(order), "ahead": F.lead("text").over(order), "next": F.lead("own").over(order)})
     half = F.floor(F.length("text") / 2).cast("int")
@@ -139,54 +169,61 @@ def sketches(table: DataFrame, versions_: list[str], width: int) -> DataFrame:
 
 
 def peel(table: DataFrame, pairs: dict[str, tuple[str, str]], width: int, attempt: int) -> DataFrame:
-    """b, rn, pair, d (digests recovered), left (cells that stay): the difference of the two
-    versions of each pair, peeled table by table."""
-    minus = [F.struct(F.lit(p).alias("pair"), F.col("cell"), (F.col(f"n_{x}") - F.col(f"n_{y}")).alias("n"), F.col(f"key_{x}").bitwiseXOR(F.col(f"key_{y}")).alias("key"), F.col(f"check_{x}").bitwiseXOR(F.col(f"check_{y}")).alias("chk"), F.lit(0).cast("long").alias("found")) for p, (x, y) in pairs.items()]
+    """b, rn, pair, d (how many digests were recovered), left (cells that stay): the difference
+    of the two versions of each pair, peeled table by table. Recovered digests gather in
+    cell -1, which counts them and holds their XOR."""
+    minus = [F.struct(F.lit(p).alias("pair"), F.col("cell"), (F.col(f"n_{x}") - F.col(f"n_{y}")).alias("n"), F.col(f"key_{x}").bitwiseXOR(F.col(f"key_{y}")).alias("key"), F.col(f"check_{x}").bitwiseXOR(F.col(f"check_{y}")).alias("chk")) for p, (x, y) in pairs.items()]
     filled = "cell < 0 or n <> 0 or key <> 0 or chk <> 0"
     now = table.select("b", "rn", F.explode(F.array(*minus)).alias("x")).select("b", "rn", "x.*").where(filled)
     for sweep in range(SWEEPS * TABLES):
         t = sweep % TABLES
         pure = (F.col("cell") >= t * width) & (F.col("cell") < (t + 1) * width) & F.col("n").isin(1, -1) & (F.col("chk") == check(F.col("key"))) & (cell(F.col("key"), t, width, attempt) == F.col("cell"))
-        row = lambda c, n, key, chk, found: F.struct(c.cast("int").alias("cell"), n.cast("int").alias("n"), key.alias("key"), chk.cast("int").alias("chk"), found.cast("long").alias("found"))
-        none = F.lit(0)
-        stay = F.array(row(F.col("cell"), F.col("n"), F.col("key"), F.col("chk"), F.col("found")))
-        taken = F.array(
-            row(F.lit(-1), F.col("n"), F.lit(0).cast("long"), none, F.col("key")),
-            *[row(cell(F.col("key"), o, width, attempt), -F.col("n"), F.col("key"), F.col("chk"), none) for o in range(TABLES) if o != t],
-        )
+        row = lambda c, n: F.struct(c.cast("int").alias("cell"), n.cast("int").alias("n"), F.col("key"), F.col("chk"))
+        stay = F.array(row(F.col("cell"), F.col("n")))
+        taken = F.array(row(F.lit(-1), F.lit(1)), *[row(cell(F.col("key"), o, width, attempt), -F.col("n")) for o in range(TABLES) if o != t])
         spread = now.select("b", "rn", "pair", F.explode(F.when(pure, taken).otherwise(stay)).alias("x")).select("b", "rn", "pair", "x.*")
-        now = spread.groupBy("b", "rn", "pair", "cell", "found").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").cast("int").alias("chk")).where(filled)
-    return now.groupBy("b", "rn", "pair").agg(F.count_if(F.col("cell") < 0).alias("d"), F.count_if(F.col("cell") >= 0).alias("left"))
+        now = spread.groupBy("b", "rn", "pair", "cell").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("chk").cast("int").alias("chk")).where(filled)
+    return now.groupBy("b", "rn", "pair").agg(F.coalesce(F.max(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("d"), F.count_if(F.col("cell") >= 0).alias("left"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, differs_edited and differs_next (how many paragraphs were recovered)."""
+    near_next, differs_edited and differs_next (how many paragraphs were recovered), and
+    cells_edited and cells_next (of the sketches that it took)."""
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: peeling is far more work than its bytes tell
     made = versions(docs, id_col, text_col)
-    three = {"own": "own", "edit": "edit", "next": "next"}
-    pairs = {"edited": ("own", "edit"), "next": ("own", "next")}
-    placed = materialize(made.repartition("b", "rn").withColumns({"s_own": F.size("own"), "s_edit": F.size("edit"), "s_next": F.size("next")}), "fingerprint-rows")
-    base = cells(placed.repartition("b", "rn"), width, 0, three)
+    sizes = {c: F.size(c.removeprefix("s_")) for c in ("s_own", "s_edit", "s_next")}
+    placed = materialize(made.withColumns(sizes).repartition(tasks, "b", "rn"), "fingerprint-rows")
+    everything = ["own", "edit", "next"]
+    base = cells(placed.repartition(tasks, "b", "rn"), width, 0, dict(zip(everything, everything)))
     prints = materialize(sketches(base, ["own", "edit"], width), "fingerprint-sketches")
-    found = materialize(peel(base, pairs, width, 0), "fingerprint-peeled")
-    solved = found.where("left = 0").select("b", "rn", "pair", "d")
-    for attempt in range(1, ATTEMPTS):
-        failed = found.where("left > 0").select("b", "rn").distinct()
-        again = materialize(placed.join(failed, ["b", "rn"], "left_semi").select("b", "rn", "own", "edit", "next"), "fingerprint-retry")
-        if again.isEmpty():
+    pairs = {"edited": ("own", "edit"), "next": ("own", "next")}
+    # the pairs still to do, as rows with empty versions where a pair is done
+    todo = placed.select("b", "rn", "own", F.col("edit"), F.col("next"), F.lit(True).alias("p_edited"), F.lit(True).alias("p_next"))
+    solved, attempt, wide = None, 0, width
+    while True:
+        hopeful = {p: F.col(f"p_{p}") & (F.abs(F.size("own") - F.size(v[1])) <= TABLES * wide) for p, v in pairs.items()}
+        tried = todo.withColumns({f"t_{p}": h for p, h in hopeful.items()}).where("t_edited or t_next")
+        # a pair that isn't tried is compared with the text itself: nothing differs, nothing is peeled
+        one = tried.select("b", "rn", "own", *[F.when(F.col(f"t_{p}"), F.col(v[1])).otherwise(F.col("own")).alias(v[1]) for p, v in pairs.items()])
+        found = materialize(peel(cells(one.repartition(tasks, "b", "rn"), wide, attempt, dict(zip(everything, everything))), pairs, wide, attempt), "fingerprint-peeled")
+        by_row = found.groupBy("b", "rn").agg(*[f(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}") for p in pairs for f, c in ((F.max, "d"), (F.max, "left"))])
+        after = todo.join(by_row, ["b", "rn"], "left").withColumns({f"t_{p}": h for p, h in hopeful.items()})
+        done = {p: F.col(f"t_{p}") & (F.coalesce(f"left_{p}", F.lit(0)) == 0) for p in pairs}
+        now = materialize(after.select("b", "rn", *[F.when(done[p], F.coalesce(f"d_{p}", F.lit(0))).alias(f"d_{p}") for p in pairs], *[(F.col(f"p_{p}") & ~done[p]).alias(f"p_{p}") for p in pairs]), "fingerprint-tried")
+        results = now.select("b", "rn", *[c for p in pairs for c in (F.col(f"d_{p}"), F.when(F.col(f"d_{p}").isNotNull(), F.lit(TABLES * wide)).alias(f"cells_{p}"))]).where("d_edited is not null or d_next is not null")
+        solved = results if solved is None else solved.unionByName(results)
+        left = now.where("p_edited or p_next").select("b", "rn", "p_edited", "p_next")
+        if left.isEmpty():
             break
-        wide = width * GROW**attempt
-        tried = materialize(peel(cells(again.repartition("b", "rn"), wide, attempt, three), pairs, wide, attempt), "fingerprint-peeled")
-        before = found.where("left > 0").select("b", "rn", "pair")
-        found = materialize(tried.join(before, ["b", "rn", "pair"], "left_semi"), "fingerprint-peeled")
-        solved = solved.unionByName(found.where("left = 0").select("b", "rn", "pair", "d"))
-        discard(again)
-    else:
-        if not found.where("left > 0").isEmpty():
-            raise RuntimeError("fingerprints: a difference could not be peeled")
-    by_row = solved.groupBy("b", "rn").agg(F.max(F.when(F.col("pair") == "edited", F.col("d"))).alias("de"), F.max(F.when(F.col("pair") == "next", F.col("d"))).alias("dn"))
+        before, todo = todo, materialize(todo.drop("p_edited", "p_next").join(left, ["b", "rn"]), "fingerprint-retry")
+        if attempt:
+            discard(before)
+        attempt, wide = attempt + 1, wide * GROW
+    by_row = solved.groupBy("b", "rn").agg(F.max("d_edited").alias("de"), F.max("d_next").alias("dn"), F.max("cells_edited").alias("ce"), F.max("cells_next").alias("cn"))
     empty = F.base64(F.unhex(F.lit("0" * (28 * TABLES * width))))
-    out = placed.drop("own", "edit", "next").join(prints, ["b", "rn"], "left").join(by_row, ["b", "rn"], "left").na.fill(0, ["de", "dn"])
+    out = placed.drop("own", "edit", "next").join(prints, ["b", "rn"], "left").join(by_row, ["b", "rn"], "left")
 
     def likeness(a: str, c: str, d: str) -> Column:
         whole = F.col(a) + F.col(c) + F.col(d)
@@ -194,5 +231,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     return out.select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("fp_own", empty).alias("fingerprint"), F.coalesce("fp_edit", empty).alias("edited_fingerprint"),
-        likeness("s_own", "s_edit", "de").alias("near_edited"), likeness("s_own", "s_next", "dn").alias("near_next"), F.col("de").alias("differs_edited"), F.col("dn").alias("differs_next"),
+        likeness("s_own", "s_edit", "de").alias("near_edited"), likeness("s_own", "s_next", "dn").alias("near_next"), F.col("de").alias("differs_edited"), F.col("dn").alias("differs_next"), F.col("ce").alias("cells_edited"), F.col("cn").alias("cells_next"),
     )
