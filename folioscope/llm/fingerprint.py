@@ -109,9 +109,9 @@ def range_number(own: DataFrame) -> Column:
     return F.expr(f"transform(array(cast(coalesce({at}, 0) as bigint)), whole -> transform(array(cast(whole as int)), cut -> {made})[0])[0]")
 
 
-def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def versions(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """b, rn, doc_id, n_chars, edited_sha256, and the paragraph digests of the text (own),
-    its edited version (edit) and the next document (next)."""
+    its edited version (edit) and the next document (next); and the tables it rests on."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     numbered = own.withColumn("tie", F.xxhash64("text"))
     rows = numbered.withColumns({"b": range_number(own), "own": digests(F.col("text"))}).drop("tie")
@@ -134,7 +134,7 @@ def versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     top = kept.agg(F.max("b")).first()[0]
     ends = kept.where("last").drop("next", "edit", "edited_sha256").join(after, "b").withColumn("next_b", F.coalesce(F.col("next").cast("long"), F.lit(top).cast("long"))).drop("next")
     ends = materialize(finished(ends.join(first, "next_b"), F.col("ahead")).drop("text", "last", "ahead", "next_b"), "fingerprint-ends")
-    return kept.where("not last").drop("text", "last").unionByName(ends)
+    return kept.where("not last").drop("text", "last").unionByName(ends), [kept, ends]
 
 
 def _expanded(pairs: DataFrame, width: int, attempt: int, versions_: dict[str, str]) -> DataFrame:
@@ -192,9 +192,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells_edited and cells_next (of the sketches that it took)."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: peeling is far more work than its bytes tell
-    made = versions(docs, id_col, text_col)
+    made, spent = versions(docs, id_col, text_col)
     sizes = {c: F.size(c.removeprefix("s_")) for c in ("s_own", "s_edit", "s_next")}
     placed = materialize(made.withColumns(sizes).repartition(tasks, "b", "rn"), "fingerprint-rows")
+    discard(*spent)
     everything = ["own", "edit", "next"]
     base = cells(placed.repartition(tasks, "b", "rn"), width, 0, dict(zip(everything, everything)))
     prints = materialize(sketches(base, ["own", "edit"], width), "fingerprint-sketches")
@@ -209,7 +210,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         one = tried.select("b", "rn", "own", *[F.when(F.col(f"t_{p}"), F.col(v[1])).otherwise(F.col("own")).alias(v[1]) for p, v in pairs.items()])
         found = materialize(peel(cells(one.repartition(tasks, "b", "rn"), wide, attempt, dict(zip(everything, everything))), pairs, wide, attempt), "fingerprint-peeled")
         by_row = found.groupBy("b", "rn").agg(*[f(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}") for p in pairs for f, c in ((F.max, "d"), (F.max, "left"))])
-        after = todo.join(by_row, ["b", "rn"], "left").withColumns({f"t_{p}": h for p, h in hopeful.items()})
+        after = todo.join(by_row.hint("merge"), ["b", "rn"], "left").withColumns({f"t_{p}": h for p, h in hopeful.items()})
         done = {p: F.col(f"t_{p}") & (F.coalesce(f"left_{p}", F.lit(0)) == 0) for p in pairs}
         now = materialize(after.select("b", "rn", *[F.when(done[p], F.coalesce(f"d_{p}", F.lit(0))).alias(f"d_{p}") for p in pairs], *[(F.col(f"p_{p}") & ~done[p]).alias(f"p_{p}") for p in pairs]), "fingerprint-tried")
         results = now.select("b", "rn", *[c for p in pairs for c in (F.col(f"d_{p}"), F.when(F.col(f"d_{p}").isNotNull(), F.lit(TABLES * wide)).alias(f"cells_{p}"))]).where("d_edited is not null or d_next is not null")
@@ -217,13 +218,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = now.where("p_edited or p_next").select("b", "rn", "p_edited", "p_next")
         if left.isEmpty():
             break
-        before, todo = todo, materialize(todo.drop("p_edited", "p_next").join(left, ["b", "rn"]), "fingerprint-retry")
+        before, todo = todo, materialize(todo.drop("p_edited", "p_next").join(left.hint("merge"), ["b", "rn"]), "fingerprint-retry")
         if attempt:
             discard(before)
         attempt, wide = attempt + 1, wide * GROW
     by_row = solved.groupBy("b", "rn").agg(F.max("d_edited").alias("de"), F.max("d_next").alias("dn"), F.max("cells_edited").alias("ce"), F.max("cells_next").alias("cn"))
     empty = F.base64(F.unhex(F.lit("0" * (28 * TABLES * width))))
-    out = placed.drop("own", "edit", "next").join(prints, ["b", "rn"], "left").join(by_row, ["b", "rn"], "left")
+    out = placed.drop("own", "edit", "next").join(prints.hint("merge"), ["b", "rn"], "left").join(by_row.hint("merge"), ["b", "rn"], "left")
 
     def likeness(a: str, c: str, d: str) -> Column:
         whole = F.col(a) + F.col(c) + F.col(d)
