@@ -144,7 +144,7 @@ ri AS (SELECT o_orderkey, lpad(CAST(o_custkey % 2800 AS VARCHAR), 4, '0') AS m,
 id AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE m || '.' || t END AS paper_id FROM ri)"""
 SCORES = """
 so AS (SELECT l_returnflag || l_linestatus AS method, lpad(CAST(l_suppkey % 30 + 1 AS VARCHAR), 3, '0') AS topic_id, ['BSC', 'TSQ', 'HDQ', 'MAR'][l_linenumber % 4 + 1] AS family, CAST(l_partkey % 4 AS VARCHAR) AS criterion, CAST(l_quantity AS INT) % 5 + 1 AS score
-  FROM lineitem WHERE NOT (l_returnflag || l_linestatus = 'AF' AND lpad(CAST(l_suppkey % 30 + 1 AS VARCHAR), 3, '0') IN ('003', '017'))),
+  FROM lineitem),
 cm AS (SELECT method, family, criterion, avg(score) AS mean FROM so GROUP BY ALL),
 fm AS (SELECT method, avg(mean) FILTER (family = 'BSC') AS b, avg(mean) FILTER (family = 'TSQ') AS t, avg(mean) FILTER (family = 'HDQ') AS h, avg(mean) FILTER (family = 'MAR') AS m, avg(mean) AS total, count(DISTINCT family) AS n FROM cm GROUP BY ALL)"""
 FLAGS = """
@@ -259,11 +259,11 @@ s AS (SELECT family, raw, is_text, CASE WHEN family IN ('BSC', 'MAR') THEN
 SELECT family, raw, is_text, greatest(1, least(5, x)) AS score, count(*) AS n FROM s GROUP BY ALL""",
     "family_means": _with(SCORES) + "SELECT fm.method, round(b, 6) AS BSC_Avg, round(t, 6) AS TSQ_Avg, round(h, 6) AS HDQ_Avg, round(m, 6) AS MAR_Avg, CASE WHEN n = 4 THEN round(total, 6) END AS Total_Avg, topics FROM fm JOIN (SELECT method, count(DISTINCT topic_id) AS topics FROM so GROUP BY ALL) c USING (method)",
     "subtotals": _with(SCORES) + "SELECT method, topic_id, family, CAST(sum(s) AS BIGINT) AS raw_20 FROM (SELECT method, topic_id, family, criterion, max(score) AS s FROM so GROUP BY ALL) GROUP BY ALL",
-    "matched_subset": _with(SCORES) + "SELECT method, topic_id, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM so WHERE topic_id IN (SELECT topic_id FROM so GROUP BY ALL HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM so)) GROUP BY ALL",
+    "matched_subset": _with(SCORES, "go AS (SELECT * FROM so WHERE NOT (method = 'AF' AND topic_id IN ('003', '017')))") + "SELECT method, topic_id, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM go WHERE topic_id IN (SELECT topic_id FROM go GROUP BY ALL HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM go)) GROUP BY ALL",
     "rank_systems": _with(SCORES) + "SELECT method, CASE WHEN method = 'NO' THEN 'Reference' ELSE 'General' END AS Category, round(total, 6) AS Total_Avg, CASE WHEN method <> 'NO' THEN rank() OVER (PARTITION BY method = 'NO' ORDER BY round(total, 6) DESC) END AS rank FROM fm",
     "score_upsert": """
 WITH r AS (SELECT CAST(o_custkey % 97 AS VARCHAR) AS method, lpad(CAST(o_orderkey % 30 AS VARCHAR), 3, '0') AS topic_id, 'off' AS api_mode, o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 0),
-o AS (SELECT method, topic_id, api_mode, max(k) AS score FROM r WHERE k % 2 = 0 GROUP BY ALL), n AS (SELECT method, topic_id, api_mode, max(k) AS score FROM r WHERE k % 3 = 0 GROUP BY ALL)
+o AS (SELECT method, topic_id, api_mode, max(k) AS score FROM r WHERE k % 2 = 0 GROUP BY ALL), n AS (SELECT method, topic_id, api_mode, max(k) AS score FROM r WHERE k % 2 = 1 GROUP BY ALL)
 SELECT method, topic_id, api_mode, coalesce(n.score, o.score) AS score FROM o FULL JOIN n USING (method, topic_id, api_mode)""",
     "page_sample": f"SELECT c_custkey, CASE WHEN n <= 50 THEN array_to_string(range(0, n), ',') ELSE array_to_string({_PAGES}, ',') END AS pages FROM (SELECT c_custkey, c_custkey % 400 AS n FROM customer)",
     "first_pages": "SELECT l_orderkey, page_no FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page_no) AS k FROM (SELECT DISTINCT l_orderkey, l_partkey * 10 + l_linenumber AS page_no FROM lineitem)) WHERE k <= 3",
