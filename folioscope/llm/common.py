@@ -64,9 +64,16 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _trim(0)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def files_for(spark: SparkSession, rows: int, per_file: int = 200_000) -> int:
+    """How many files a table of at most so many rows is worth, one a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_file))
+
+
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
-    so a lost executor costs a read and not a recomputation."""
+    so a lost executor costs a read and not a recomputation. ``files``: at most so many,
+    for tables that are small beside the shuffle they come from."""
+    df = df.coalesce(files) if files else df
     path = new_path(df.sparkSession, name)
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")

@@ -41,24 +41,41 @@ def test_bpe_is_tiktoken(spark, tokenizer):
     assert bpe.round_trip(docs.limit(0), PATH, PATTERN).collect() == []
 
 
-def test_long_words_by_heap(tokenizer):
+def test_long_words_in_one_text(spark, tokenizer):
+    """Words of any length take the recursive queries; tiktoken says what they come to."""
     r = random.Random(2)
-    words = ["".join(r.choice("abet hn") for _ in range(r.randint(1, 90))).replace(" ", "t").encode() for _ in range(200)]
-    assert tokenizer.contract(words) == [tokenizer.contract_long(w) for w in words]
+    texts = ["a" * 40000, "aab" * 9000, "=" * 30000, "e" * 77 + "th" * 3000, "我是中国人你好世界" * 900, "".join(r.choice("aeth") for _ in range(9000)), "".join(r.choice("ACGT") for _ in range(9000))]
+    texts += ["".join(r.choice("abet hn") for _ in range(r.randint(1, 300))) for _ in range(200)]
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=tokenizer.ranks, special_tokens={})
+    for text, (_, _, _, intact, ids) in zip(texts, tokenizer.texts(texts, with_ids=True)):
+        assert intact and ids.tolist() == own.encode_ordinary(text)
+
 
+def test_queries_go_on_where_their_steps_end(tokenizer, monkeypatch):
+    words = [w.encode() for w in ("internationalisation" * 5, "aaaaaaaaaaaaaaaaaaaaaaa", "étéétéété", "b")] * 3
+    want = [w.tolist() for w in tokenizer.contract(words)]
+    monkeypatch.setattr(bpe, "ROWS", 1)
+    assert [w.tolist() for w in tokenizer.contract(words)] == want
 
-def test_bpe_caches_turn_over(tokenizer, monkeypatch):
+
+def test_bpe_caches_and_pieces(tokenizer, monkeypatch):
+    texts = random_texts(60, seed=1, words=30) + odd_texts() + [" ".join(random_texts(40, seed=2)), "x" * 5000 + " y"]
+    want = list(tokenizer.texts(texts))
     monkeypatch.setattr(bpe, "CACHE", 50)
     monkeypatch.setattr(bpe, "BATCH", 7)
+    monkeypatch.setattr(bpe, "PIECE", 100)
     small = bpe.Tokenizer(bpe.read_ranks(PATH), PATTERN)
-    texts = random_texts(60, seed=1, words=30)
     for _ in range(3):
-        assert list(small.texts(texts)) == list(tokenizer.texts(texts))
+        assert list(small.texts(texts)) == want
+        assert len(small.codes) < 150
 
 
 def test_unknown_ids_are_refused(tokenizer):
-    with pytest.raises(KeyError):
-        tokenizer.decode_many([np.array([10**6], "<i4").tobytes()])
+    import pyarrow as pa
+
+    for ids in ([10**6], [-1], [5, 10**9]):
+        with pytest.raises(KeyError):
+            tokenizer.decode_lists(pa.array([ids], pa.list_(pa.int32())))
 
 
 def good(r):
