@@ -21,7 +21,8 @@ Defined cases
     * no labelled row to learn from: the score is 0.5 for all.
     * ties among neighbours: the earlier in the sample (order of the hash, then id).
     * repeated rows are scored each; an empty table gives an empty result.
-    * extra columns are ignored.
+    * extra columns stay as they are, but for one named like a result (``_score``,
+      ``_predicted``), which the result replaces.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import carried, small_batches, trimmed
+
 SAMPLE = 4000
 WORDS = 4096
 RANK = 48
@@ -136,33 +139,41 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = [(r["doc_id"], r["label"]) for r in ids.collect()]
     if not chosen:
         return Model([], [])
+    small_batches(docs.sparkSession)
     # the sample has a fixed bound, and so has this list of ids
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, label int")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in trimmed(batches):
             found = [counts(t.as_py() or b"") for t in b.column("text").cast(pa.large_binary())]
             where = [np.flatnonzero(x) for x in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([w.astype(np.int32) for w in where], pa.list_(pa.int32())), pa.array([x[w] for x, w in zip(found, where)], pa.list_(pa.float32()))], names=["doc_id", "label", "at", "n"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     rows = picked.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, at array<int>, n array<float>")
-    rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", F.col("at").cast("string")).limit(SAMPLE).collect()
-    return Model([(r["at"], r["n"]) for r in rows], [r["label"] for r in rows])
+    rows = rows.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id", F.col("at").cast("string")).limit(SAMPLE).toArrow().combine_chunks()
+    if not rows.num_rows:
+        return Model([], [])
+    at, n = rows["at"].combine_chunks(), rows["n"].combine_chunks()
+    ends, where, counted = at.offsets.to_numpy(), at.values.to_numpy(), n.values.to_numpy()
+    return Model([(where[a:b], counted[a:b]) for a, b in zip(ends, ends[1:])], rows["label"].to_pylist())
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with the columns ``_score`` and ``_predicted``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    small_batches(docs.sparkSession)
+    docs = docs.select(*carried(docs, ["_score", "_predicted"]))
+    at, names = docs.columns.index(text_col), docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of any kind come back afterwards
+    schema = T.StructType([*own.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in trimmed(batches):
             for start in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(start, BLOCK)
                 raw = np.stack([counts(t.as_py() or b"") for t in b.column(at).cast(pa.large_binary())])
                 score = sent.value.score(raw)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=[*whole.schema.names, "_score", "_predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*names, "_score", "_predicted")
