@@ -7,11 +7,13 @@ of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, decontaminate, lines, quality, simhash
-from folioscope.llm.common import materialize
+from folioscope.llm.common import materialize, release_executors
 from folioscope.llm.queries import LINE_SITES, RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,12 +48,25 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def after_release(stage: Stage) -> Stage:
+    """The stage, on executors that have given back what the one before it left."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("line dedup", line_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("byte-level BPE", token_stage),
+    ("quality classifier", after_release(quality_stage)),
+    ("line dedup", after_release(line_stage)),
+    ("SimHash near-dedup", after_release(near_duplicate_stage)),
+    ("benchmark decontamination", after_release(benchmark_stage)),
+    ("byte-level BPE", after_release(token_stage)),
 ]
 
 #: SQL has neither the classifier's vectors nor the tokenizer's contraction.
