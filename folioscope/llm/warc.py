@@ -18,7 +18,9 @@ Equal payloads: that with the smallest page_id is ``response``, the others are
 ``revisit`` records (profile identical-payload-digest) whose block holds the HTTP
 header alone. Payloads are compared by SHA-1 and length. The smallest ids come
 from a map-side combined aggregate and go back by a sort-merge join that Spark can
-split where one payload holds a large share of all rows.
+split where one payload holds a large share of all rows. Only pages that may be revisits
+take part in it, payload included: a bitmap of fixed size with the ids of revisits tells
+the others, whose records are written where their pages are read.
 
 Defined cases
     * null html: an empty payload. null url: an empty WARC-Target-URI.
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bitmap, discard, in_bitmap, materialize, small_batches, trimmed
 
 CHUNK_BYTES = 1 << 20
 ARCHIVE_SCHEMA = "record_id string, chunk_no int, n_chunks int, data binary"
@@ -118,12 +120,23 @@ def _in_hex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the archive table to the shared folder; returns it."""
+    small_batches(pages.sparkSession)
     revisits = decide(pages, id_col, payload_col, min_bytes).where("refers_to is not null").distinct()
     decided = materialize(revisits.mapInArrow(_in_hex, "page_id long, payload_bytes int, hex string, refers_to long"), "warc-revisits")
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("payload"))
+    bits = bitmap(decided.select(F.xxhash64("page_id").alias("k")), "k")
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("payload")).withColumn("k", F.xxhash64("page_id"))
+
+    def chosen(maybe: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = in_bitmap(bits.value, b.column("k").to_numpy())
+                yield b.filter(pa.array(hit if maybe else ~hit))
+
+        return pick
+
     # by payload too: rows of one page_id may differ in it
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
-    rows = rows.withColumns({"payload_bytes": F.octet_length(payload), "hex": F.sha1(payload)}).join(decided, ["page_id", "payload_bytes", "hex"], "left").select("page_id", "url", "payload", "refers_to")
+    maybe = rows.mapInArrow(chosen(True), rows.schema).withColumns({"payload_bytes": F.octet_length(payload), "hex": F.sha1(payload)}).join(decided, ["page_id", "payload_bytes", "hex"], "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
@@ -138,8 +151,9 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         parts: list[bytes] = []
         held = serial = 0
         task = TaskContext.get().partitionId()
-        for b in batches:
-            for page_id, url, refers_to, view in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("refers_to").to_pylist(), _views(b.column("payload"))):
+        for b in trimmed(batches):
+            refer = b.column("refers_to").to_pylist() if "refers_to" in b.schema.names else [None] * b.num_rows
+            for page_id, url, refers_to, view in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), refer, _views(b.column("payload"))):
                 state = hashlib.sha1()
                 for piece in _pieces(view, chunk_bytes):
                     state.update(piece)
@@ -147,7 +161,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 body = view if refers_to is None else view[:0]
                 n = max(1, -(-len(body) // chunk_bytes))
                 serial += 1
-                key = f"{record_id}/{task}/{serial}"  # repeated page_ids keep their chunks apart
+                key = f"{record_id}/{task}{'r' if 'refers_to' in b.schema.names else 'p'}/{serial}"  # repeated page_ids keep their chunks apart
                 for k in range(n):
                     part = (head if k == 0 else b"") + bytes(body[k * chunk_bytes : (k + 1) * chunk_bytes]) + (b"\r\n\r\n" if k == n - 1 else b"")
                     ids.append(key)
@@ -161,7 +175,12 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         if ids:
             yield flush()
 
-    return materialize(rows.mapInArrow(run, ARCHIVE_SCHEMA), "warc-archive")
+    def run_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(chosen(False)(batches))
+
+    archive = materialize(maybe.mapInArrow(run, ARCHIVE_SCHEMA).unionByName(rows.mapInArrow(run_others, ARCHIVE_SCHEMA)), "warc-archive")
+    discard(decided)
+    return archive
 
 
 class RecordParser:
