@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_sentence, strip
+from .text import clean_sentence, let, strip
 
 #: The syntax of citation markers.
 SPLIT_RANGE = r"\[\s*(\d+)\s*\]\s*(?:-{1,2}|[–—])\s*\[\s*(\d+)\s*\]"
@@ -46,16 +46,18 @@ def expand(group: Column) -> Column:
     """The ordered distinct numbers of ``1, 3-5; 9``, as strings. Reversed and very wide
     ranges give none; so does a number of over 18 digits in a range."""
     range_ = r"^(\d{1,18})\s*[-–—]\s*(\d{1,18})$"
+    nothing = F.array().cast("array<string>")
 
-    def numbers(raw: Column) -> Column:
-        part = strip(raw)
-        low, high = F.try_to_number(F.regexp_extract(part, range_, 1), F.lit("9" * 18)).cast("long"), F.try_to_number(F.regexp_extract(part, range_, 2), F.lit("9" * 18)).cast("long")
-        valid = part.rlike(range_) & (low <= high) & (high - low <= WIDEST)
-        run = F.transform(F.sequence(F.when(valid, low).otherwise(0), F.when(valid, high).otherwise(0)), lambda i: i.cast("string"))
-        nothing = F.array().cast("array<string>")
-        return F.when(part.rlike(r"^\d+$"), F.array(_plain(part))).when(valid, run).otherwise(nothing)
+    def run(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        valid = (low <= high) & (high - low <= WIDEST)
+        return F.when(valid, F.transform(F.sequence(low, F.when(valid, high).otherwise(low)), lambda i: i.cast("string"))).otherwise(nothing)
 
-    return F.array_distinct(F.flatten(F.transform(F.split(group, "[,;]"), numbers)))
+    def numbers(part: Column) -> Column:
+        ends = F.struct(F.regexp_extract(part, range_, 1).cast("long").alias("low"), F.regexp_extract(part, range_, 2).cast("long").alias("high"))
+        return F.when(part.rlike(r"^\d+$"), F.array(_plain(part))).when(part.rlike(range_), let(ends, run)).otherwise(nothing)
+
+    return F.array_distinct(F.flatten(F.transform(F.transform(F.split(group, "[,;]"), strip), numbers)))
 
 
 def marker_indices(marker: Column) -> Column:
@@ -67,15 +69,17 @@ def marker_indices(marker: Column) -> Column:
 
 def markers(sentence: Column) -> Column:
     """An array of (marker, before, after): every marker with the text on both sides of it."""
-    found = F.regexp_extract_all(sentence, F.lit(f"({MARKER})"), F.lit(1))
-    between = F.split(sentence, MARKER, -1)
     length = lambda array, n: F.aggregate(F.slice(array, 1, n), F.lit(0), lambda s, x: s + F.length(x))
 
-    def place(marker: Column, i: Column) -> Column:
-        begin = length(between, i + 1) + length(found, i)
-        return F.struct(marker.alias("marker"), F.substr(sentence, F.lit(1), begin).alias("before"), F.substr(sentence, begin + F.length(marker) + 1).alias("after"))
+    def placed(p: Column) -> Column:
+        def place(marker: Column, i: Column) -> Column:
+            begin = length(p["between"], i + 1) + length(p["found"], i)
+            return let(begin, lambda at: F.struct(marker.alias("marker"), F.substr(p["text"], F.lit(1), at).alias("before"), F.substr(p["text"], at + F.length(marker) + 1).alias("after")))
+
+        return F.transform(p["found"], place)
 
-    return F.transform(found, place)
+    parts = F.struct(sentence.alias("text"), F.regexp_extract_all(sentence, F.lit(f"({MARKER})"), F.lit(1)).alias("found"), F.split(sentence, MARKER, -1).alias("between"))
+    return let(parts, placed)
 
 
 def drop_numeric(c: Column) -> Column:
@@ -96,24 +100,27 @@ def attach(sentences: Column) -> Column:
     """Sentences that are citations only join the one before them; a leading one goes."""
 
     def step(kept: Column, s: Column) -> Column:
-        joined = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(F.concat(F.element_at(kept, -1), F.lit(" "), s)))
-        return F.when(~citation_only(s), F.concat(kept, F.array(s))).when(F.size(kept) > 0, joined).otherwise(kept)
+        joined = F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(F.concat(F.element_at(kept, -1), F.lit(" "), s["text"])))
+        return F.when(~s["lone"], F.concat(kept, F.array(s["text"]))).when(F.size(kept) > 0, joined).otherwise(kept)
 
-    return F.aggregate(sentences, F.array().cast("array<string>"), step)
+    marked = F.transform(sentences, lambda s: F.struct(s.alias("text"), citation_only(s).alias("lone")))
+    return F.aggregate(marked, F.array().cast("array<string>"), step)
 
 
 def attach_counts(sentences: Column) -> Column:
     """How many sentences were attached and how many went."""
-    only = F.transform(sentences, citation_only)
-    first = F.array_position(only, False).cast("int")
-    lone = F.size(F.filter(only, lambda x: x))
-    skipped = F.when(first > 0, first - 1).otherwise(F.size(only))
-    return F.struct((lone - skipped).alias("attached"), skipped.alias("skipped"))
+
+    def counted(only: Column) -> Column:
+        first = F.array_position(only, False).cast("int")
+        skipped = F.when(first > 0, first - 1).otherwise(F.size(only))
+        return F.struct((F.size(F.filter(only, lambda x: x)) - skipped).alias("attached"), skipped.alias("skipped"))
+
+    return let(F.transform(sentences, citation_only), counted)
 
 
 #: What a trailing bare number may follow without being a citation.
-LABELS = ["figure", r"fig\.?", "table", "section", r"sec\.?", "chapter", "appendix", r"eq\.?", "equation", "algorithm", "step", "phase", "version", "rank", "top"]
-MODELS = ["gpt", "llama", "claude", "gemini", "bert", "vit", "rt", "dino", "resnet", "clip", "yolo", "mistral", "mixtral", "qwen", "deepseek", "palm", "roberta", "vgg"]
+LABEL = r"(?iU)\b(?:figure|fig\.?|table|section|sec\.?|chapter|appendix|eq\.?|equation|algorithm|step|phase|version|rank|top)\s*$"
+MODEL = r"(?iU)\b(?:gpt|llama|claude|gemini|bert|vit|rt|dino|resnet|clip|yolo|mistral|mixtral|qwen|deepseek|palm|roberta|vgg)\s*[- ]*$"
 BARE_METHOD = "gemini_deep_research"
 
 
@@ -126,7 +133,7 @@ def bare_citation(sentence: Column) -> Column:
     is one of the manuscript's references is left to the join with these."""
     pattern = r"^(.*?)(?<![\[\]\d./:#-])(\d{1,3})\s*[.,;:!?]?\s*$"
     before = F.regexp_extract(sentence, pattern, 1)
-    labelled = before.rlike(rf"(?iU)\b(?:{'|'.join(LABELS)})\s*$") | before.rlike(rf"(?iU)\b(?:{'|'.join(MODELS)})\s*[- ]*$")
+    labelled = before.rlike(LABEL) | before.rlike(MODEL)
     linked = before.rlike(rf"(?U){BRACKET}[\s.,;:!?)]*$")
     return F.when(sentence.rlike(pattern) & ~labelled & ~linked, _plain(F.regexp_extract(sentence, pattern, 2)))
 
@@ -147,8 +154,8 @@ def mark_target(sentence: Column, target: Column) -> Column:
     return clean_sentence(F.array_join(pieces, ""))
 
 
-#: Words that show a line to be an entry of a reference list.
-VENUES = ["arXiv", "Proceedings", "Conference", "Journal", "Transactions", "Findings", "Workshop", "URL", "doi", "preprint", "ICLR", "NeurIPS", "ACL", "EMNLP", "AAAI", "CVPR", "ICML", "SIGDIAL", "UAI"]
+#: Fixed value: words that show a line to be an entry of a reference list.
+VENUE = r"(?iU)\b(?:arXiv|Proceedings|Conference|Journal|Transactions|Findings|Workshop|URL|doi|preprint|ICLR|NeurIPS|ACL|EMNLP|AAAI|CVPR|ICML|SIGDIAL|UAI)\b"
 
 
 def reference_entry(line: Column) -> Column:
@@ -157,4 +164,4 @@ def reference_entry(line: Column) -> Column:
     rest = F.regexp_extract(line, pattern, 2)
     head = F.substring(rest, 1, 160)
     dated = rest.rlike(r"(?U)\b(?:19|20)\d{2}\b") & (F.contains(head, F.lit(",")) | F.contains(head, F.lit(" and ")))
-    return line.rlike(pattern) & (rest.rlike(rf"(?iU)\b(?:{'|'.join(VENUES)})\b") | dated)
+    return line.rlike(pattern) & (rest.rlike(VENUE) | dated)

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .citations import drop_markers, drop_numeric
-from .text import clean_sentence, strip
+from .text import clean_sentence, let, strip
 
-#: Words that open a clause.
-CONNECTIVES = ["however", "therefore", "consequently", "whereas", "while", "although", "but", "by contrast", "conversely", "furthermore", "moreover", "nevertheless", "in contrast"]
+#: Words that open a clause, and lengths.
+CONNECTIVE = r"\b(however|therefore|consequently|whereas|while|although|but|by contrast|conversely|furthermore|moreover|nevertheless|in contrast)\b"
 SHORT_CLAUSE, LONG_TEXT, CLAUSE_LIMIT = 40, 300, 500
 
 #: Claim types by keyword; the first that fits is the type.
@@ -67,19 +67,20 @@ def attached_clause(sentence: Column, before: Column, after: Column) -> Column:
     """(text, scope): the least clause before a citation. It begins at the last connective,
     else after the last ``; : — –``, else, in a long text, after the last comma that leaves
     enough. A clause that is too short gives way to the whole sentence."""
-    connective = rf"(?isU)^.*\b({'|'.join(CONNECTIVES)})\b"
-    # greedy prefix: what follows the last connective, and the connective itself
-    tail = F.regexp_extract(before, connective + "(.*)$", 2)
-    word = F.regexp_extract(before, connective, 1)
+    # greedy prefix: the last connective and what follows it
+    connective = rf"(?isU)^.*({CONNECTIVE}.*)$"
     after_mark = F.regexp_extract(before, r"(?s)^.*[;:—–](.*)$", 1)
     after_comma = F.regexp_extract(before, r"(?s)^.*,(.*)$", 1)
     comma = (F.length(before) > LONG_TEXT) & F.contains(before, F.lit(",")) & (F.length(clean_sentence(drop_markers(after_comma), 700)) >= SHORT_CLAUSE)
-    part = F.when(before.rlike(connective), F.concat(word, tail)).when(before.rlike("[;:—–]"), after_mark).when(comma, after_comma).otherwise(before)
-    clause = clean_sentence(drop_markers(part), 700)
+    part = F.when(before.rlike(connective), F.regexp_extract(before, connective, 1)).when(before.rlike("[;:—–]"), after_mark).when(comma, after_comma).otherwise(before)
     whole = clean_sentence(drop_markers(F.concat(before, F.lit(" "), after)), CLAUSE_LIMIT)
-    short = F.length(clause) < SHORT_CLAUSE
-    text = F.when(short, whole).when(F.length(clause) > CLAUSE_LIMIT, clean_sentence(clause, CLAUSE_LIMIT)).otherwise(clause)
-    return F.struct(text.alias("clause"), F.when(short, F.lit("sentence_fallback")).otherwise(F.lit("clause")).alias("scope"))
+
+    def chosen(clause: Column) -> Column:
+        short = F.length(clause) < SHORT_CLAUSE
+        text = F.when(short, whole).when(F.length(clause) > CLAUSE_LIMIT, clean_sentence(clause, CLAUSE_LIMIT)).otherwise(clause)
+        return F.struct(text.alias("clause"), F.when(short, F.lit("sentence_fallback")).otherwise(F.lit("clause")).alias("scope"))
+
+    return let(clean_sentence(drop_markers(part), 700), chosen)
 
 
 def evaluable(text: Column) -> Column:
@@ -89,5 +90,5 @@ def evaluable(text: Column) -> Column:
 
 
 def mark_clause(clause: Column) -> Column:
-    text = strip(clean_sentence(drop_markers(clause), 700))
-    return F.when(text == "", F.lit("[CITE_THIS]")).otherwise(F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.lit(" [CITE_THIS].")))
+    marked = lambda text: F.when(text == "", F.lit("[CITE_THIS]")).otherwise(F.concat(F.regexp_replace(text, r"[.!?]+$", ""), F.lit(" [CITE_THIS].")))
+    return let(strip(clean_sentence(drop_markers(clause), 700)), marked)

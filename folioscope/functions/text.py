@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it. Spark finds
+    repeated expressions itself, but not inside lambdas and not across conditions."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -31,8 +39,8 @@ def drop_tags(c: Column) -> Column:
 
 def shorten(c: Column, limit: int) -> Column:
     """At most ``limit`` characters, the last three of a cut text being dots."""
-    cut = F.concat(F.regexp_replace(F.substring(c, 1, limit - 3), r"(?U)\s+$", ""), F.lit("..."))
-    return F.when(F.length(c) <= limit, c).otherwise(cut)
+    cut = lambda x: F.concat(F.regexp_replace(F.substring(x, 1, limit - 3), r"(?U)\s+$", ""), F.lit("..."))
+    return let(c, lambda x: F.when(F.length(x) <= limit, x).otherwise(cut(x)))
 
 
 def clean_sentence(c: Column, limit: int = 500) -> Column:

@@ -79,16 +79,19 @@ def size_histogram(events: DataFrame, key: list[str]) -> DataFrame:
     return events.groupBy(*key, size_bin(F.col("group_size")).alias("size_bin")).agg(F.count(F.lit(1)).alias("claims"))
 
 
-def balance(groups: DataFrame, key: list[str], max_group_size: int = 15) -> DataFrame:
-    """Group sizes in total: shares of large, oversized and single groups, mean and largest."""
+def balance_columns(max_group_size: int) -> list[Column]:
+    """Aggregates over group sizes: shares of large, oversized and single groups, mean, largest."""
     n, size = F.count(F.lit(1)), F.col("group_size")
-    return groups.groupBy(*key).agg(
-        F.coalesce(F.round(F.count_if(size >= 5) / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("large_citation_group_ratio"),
-        F.coalesce(F.round(F.count_if(size > max_group_size) / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("oversized_citation_group_ratio"),
-        F.coalesce(F.round(F.sum(size) / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("avg_citation_group_size"),
-        F.coalesce(F.max(size), F.lit(0)).alias("max_citation_group_size"),
-        F.coalesce(F.round(F.count_if(size == 1) / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("single_citation_claim_ratio"),
-    )
+    of_all = lambda c: F.coalesce(F.round(c / F.nullif(n, F.lit(0)), 4), F.lit(0.0))
+    return [
+        of_all(F.count_if(size >= 5)).alias("large_citation_group_ratio"), of_all(F.count_if(size > max_group_size)).alias("oversized_citation_group_ratio"),
+        of_all(F.sum(size)).alias("avg_citation_group_size"), F.coalesce(F.max(size), F.lit(0)).alias("max_citation_group_size"), of_all(F.count_if(size == 1)).alias("single_citation_claim_ratio"),
+    ]
+
+
+def balance(groups: DataFrame, key: list[str], max_group_size: int = 15) -> DataFrame:
+    """Group sizes in total, see ``balance_columns``."""
+    return groups.groupBy(*key).agg(*balance_columns(max_group_size))
 
 
 def section_coverage(paragraphs: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
@@ -101,15 +104,25 @@ def section_coverage(paragraphs: DataFrame, events: DataFrame, key: list[str]) -
 
 def distribution(paragraphs: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
     """The flagship: one row of statistics a sample, samples without events included."""
-    size = F.col("group_size")
-    repeated = repeated_groups(events, key).groupBy(*key).agg(F.count(F.lit(1)).alias("num_repeated_exact_citation_groups"), F.sum("num_occurrences").alias("repeated_claims"))
-    counts = events.groupBy(*key).agg(F.count(F.lit(1)).alias("total_cited_claims"), F.count_if(size == 1).alias("single_citation_claims"), F.count_if(size > 1).alias("multi_citation_claims"))
-    out = section_coverage(paragraphs, events, key)
-    for part in (counts, top_share(events, key), repeated, balance(events, key)):
-        out = out.join(part, key, "left")
-    out = out.na.fill(0)
+    size, sections = F.col("group_size"), F.size(F.collect_set("section"))
+    # rows of a sample lie together from here on: no further step moves them
+    own, body = events.repartition(*key), paragraphs.repartition(*key).groupBy(*key).agg(sections.alias("total_body_sections"))
+    counts = own.groupBy(*key).agg(
+        sections.alias("sections_with_citations"), F.count(F.lit(1)).alias("total_cited_claims"), F.count_if(size == 1).alias("single_citation_claims"), F.count_if(size > 1).alias("multi_citation_claims"), *balance_columns(15)
+    )
+    used = own.select(*key, F.explode("indices").alias("citation_index")).groupBy(*key, "citation_index").agg(F.count(F.lit(1)).alias("n"))
+    most = used.groupBy(*key).agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))
+    total = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda s, x: s + x)
+    whole = total(F.col("n"))
+    shares = most.select(*key, whole.alias("total_citation_mentions"), F.size("n").alias("num_unique_citation_indices"), ratio(F.col("n")[0], whole).alias("top_1_citation_mention_share"), ratio(total(F.slice("n", 1, 5)), whole).alias("top_5_citation_mention_share"))
+    groups = own.groupBy(*key, "indices").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = groups.groupBy(*key).agg(F.count(F.lit(1)).alias("num_repeated_exact_citation_groups"), F.sum("n").alias("repeated_claims"))
+    out = body.join(counts, key, "left").join(shares, key, "left").join(repeated, key, "left").na.fill(0)
     claims = F.col("total_cited_claims")
-    return out.withColumns({"multi_citation_claim_ratio": ratio(F.col("multi_citation_claims"), claims), "repeated_exact_group_claim_ratio": ratio(F.col("repeated_claims"), claims)}).drop("repeated_claims")
+    return out.withColumns({
+        "section_citation_coverage_ratio": ratio(F.col("sections_with_citations"), F.col("total_body_sections")),
+        "multi_citation_claim_ratio": ratio(F.col("multi_citation_claims"), claims), "repeated_exact_group_claim_ratio": ratio(F.col("repeated_claims"), claims),
+    }).drop("repeated_claims")
 
 
 def report(paragraphs: DataFrame, events: DataFrame, scanned_counts: DataFrame, syntax: DataFrame, key: list[str]) -> DataFrame:

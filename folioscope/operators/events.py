@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import SPLIT_RANGE, bare_citation, cites_bare_numbers, expand, is_group, join_split_ranges, marker_indices, markers
 from ..functions.claims import attached_clause, claim_type, clause_key, evaluable, mark_clause, similar_keys
-from ..functions.text import clean_sentence
+from ..functions.text import clean_sentence, let
 
 
 def merge_clauses(found: Column, cited: str) -> Column:
@@ -16,9 +16,8 @@ def merge_clauses(found: Column, cited: str) -> Column:
 
     def step(kept: Column, one: Column) -> Column:
         alike = F.transform(kept, lambda k: (k["scope"] == one["scope"]) & similar_keys(k["key"], one["key"]))
-        at = F.array_position(alike, True) - 1
-        united = F.transform(kept, lambda k, i: F.when(i == at, k.withField(cited, F.array_union(k[cited], one[cited]))).otherwise(k))
-        return F.when(at >= 0, united).otherwise(F.concat(kept, F.array(one)))
+        united = lambda at: F.transform(kept, lambda k, i: F.when(i == at, k.withField(cited, F.array_union(k[cited], one[cited]))).otherwise(k))
+        return let(F.array_position(alike, True) - 1, lambda at: F.when(at >= 0, united(at)).otherwise(F.concat(kept, F.array(one))))
 
     return F.aggregate(found, F.slice(found, 1, 0), step)
 
