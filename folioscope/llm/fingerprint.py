@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, files_for, materialize
 
 PIECE = 200
 #: Cells of each of the three tables in a fingerprint; what a retry multiplies them by.
@@ -196,9 +196,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = {c: F.size(c.removeprefix("s_")) for c in ("s_own", "s_edit", "s_next")}
     placed = materialize(made.withColumns(sizes).repartition(tasks, "b", "rn"), "fingerprint-rows")
     discard(*spent)
+    rows = placed.count()
+    few, some = files_for(spark, rows), files_for(spark, rows, 2000)  # rows of peeling are dear
     everything = ["own", "edit", "next"]
     base = cells(placed.repartition(tasks, "b", "rn"), width, 0, dict(zip(everything, everything)))
-    prints = materialize(sketches(base, ["own", "edit"], width), "fingerprint-sketches")
+    prints = materialize(sketches(base, ["own", "edit"], width), "fingerprint-sketches", some)
     pairs = {"edited": ("own", "edit"), "next": ("own", "next")}
     # the pairs still to do, as rows with empty versions where a pair is done
     todo = placed.select("b", "rn", "own", F.col("edit"), F.col("next"), F.lit(True).alias("p_edited"), F.lit(True).alias("p_next"))
@@ -208,17 +210,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tried = todo.withColumns({f"t_{p}": h for p, h in hopeful.items()}).where("t_edited or t_next")
         # a pair that isn't tried is compared with the text itself: nothing differs, nothing is peeled
         one = tried.select("b", "rn", "own", *[F.when(F.col(f"t_{p}"), F.col(v[1])).otherwise(F.col("own")).alias(v[1]) for p, v in pairs.items()])
-        found = materialize(peel(cells(one.repartition(tasks, "b", "rn"), wide, attempt, dict(zip(everything, everything))), pairs, wide, attempt), "fingerprint-peeled")
+        found = materialize(peel(cells(one.repartition(tasks, "b", "rn"), wide, attempt, dict(zip(everything, everything))), pairs, wide, attempt), "fingerprint-peeled", some)
         by_row = found.groupBy("b", "rn").agg(*[f(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}") for p in pairs for f, c in ((F.max, "d"), (F.max, "left"))])
         after = todo.join(by_row.hint("merge"), ["b", "rn"], "left").withColumns({f"t_{p}": h for p, h in hopeful.items()})
         done = {p: F.col(f"t_{p}") & (F.coalesce(f"left_{p}", F.lit(0)) == 0) for p in pairs}
-        now = materialize(after.select("b", "rn", *[F.when(done[p], F.coalesce(f"d_{p}", F.lit(0))).alias(f"d_{p}") for p in pairs], *[(F.col(f"p_{p}") & ~done[p]).alias(f"p_{p}") for p in pairs]), "fingerprint-tried")
+        now = materialize(after.select("b", "rn", *[F.when(done[p], F.coalesce(f"d_{p}", F.lit(0))).alias(f"d_{p}") for p in pairs], *[(F.col(f"p_{p}") & ~done[p]).alias(f"p_{p}") for p in pairs]), "fingerprint-tried", few)
         results = now.select("b", "rn", *[c for p in pairs for c in (F.col(f"d_{p}"), F.when(F.col(f"d_{p}").isNotNull(), F.lit(TABLES * wide)).alias(f"cells_{p}"))]).where("d_edited is not null or d_next is not null")
         solved = results if solved is None else solved.unionByName(results)
         left = now.where("p_edited or p_next").select("b", "rn", "p_edited", "p_next")
         if left.isEmpty():
             break
-        before, todo = todo, materialize(todo.drop("p_edited", "p_next").join(left.hint("merge"), ["b", "rn"]), "fingerprint-retry")
+        before, todo = todo, materialize(todo.drop("p_edited", "p_next").join(left.hint("merge"), ["b", "rn"]), "fingerprint-retry", some)
         if attempt:
             discard(before)
         attempt, wide = attempt + 1, wide * GROW
