@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import once
+
 #: Criteria by family, as judges name them.
 CRITERIA = {
     "BSC": ["Claim-Level Citation Support", "Reference Faithfulness and Attribution Accuracy", "Multi-Reference Synthesis Coverage and Quality", "Citation Distribution Balance and Non-Redundancy"],
@@ -77,13 +79,15 @@ def parse(responses: DataFrame, raw: str = "raw_response", family: str = "family
     and ``parsed``: VARIANT, null where that JSON is no object."""
     text = F.coalesce(F.col(raw), F.lit(""))
     wide = F.col(family).isin("TSQ", "HDQ")
-    rows = responses.withColumn("_found", first_object(text)).withColumns({
-        "_whole": F.try_parse_json(F.trim(text)), "_fence": F.try_parse_json(F.when(wide, inner_fence(text)).otherwise(unfence(text))), "_braces": F.try_parse_json(F.when(wide, outer_braces(text)).otherwise(F.col("_found"))),
-    })
+    rows = once(responses.withColumn("_found", first_object(text)), "_whole", F.try_parse_json(F.trim(text)))
+    # a lower rung is tried only where those above it hold nothing
+    lower = lambda v, c: F.when(v.isNull(), F.try_parse_json(c))
+    rows = once(rows, "_fence", lower(F.col("_whole"), F.when(wide, inner_fence(text)).otherwise(unfence(text))))
+    rows = once(rows, "_braces", lower(F.coalesce("_whole", "_fence"), F.when(wide, outer_braces(text)).otherwise(F.col("_found"))))
     rungs = [("whole", F.col("_whole")), ("fence", F.col("_fence")), ("braces", F.col("_braces"))]
     rung = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in rungs])
-    rows = rows.withColumns({"rung": rung, "_first": F.coalesce(*[v for _, v in rungs])})
-    return rows.withColumn("parsed", _object(F.col("_first"))).drop("_found", "_whole", "_fence", "_braces", "_first")
+    rows = once(rows.withColumn("rung", rung), "_first", F.coalesce(*[v for _, v in rungs]))
+    return once(rows, "parsed", _object(F.col("_first"))).drop("_found", "_whole", "_fence", "_braces", "_first")
 
 
 def unescape(c: Column) -> Column:
@@ -121,14 +125,15 @@ def raw_scores(responses: DataFrame, key: list[str], raw: str = "raw_response",
         complete = F.lit(f != "BSC") & F.col("rung").isNull()
         for n in together:
             complete = complete & text.rlike(_loose(n, f == "MAR"))
-        own = own.withColumn("_loose", complete)
+        own = once(own, "_loose", complete)
         group = _object(F.try_variant_get(parsed, f"$.{f}", "variant"))
         if f == "BSC":
             scores = F.try_variant_get(parsed, "$.scores", "variant")
             own = own.withColumn("_group", F.coalesce(scores, group)).withColumn("_former", scores.isNull())
         else:
             own = own.withColumn("_group", group).withColumn("_former", F.lit(False))
-        loose, group = F.col("_loose"), F.col("_group")
+        loose, group = F.col("_loose"), F.col("_held")
+        own = once(own, "_held", F.col("_group"))
         if f == "BSC":
             status = F.when(parsed.isNull(), UNPARSED).otherwise(OK)
         elif f == "MAR":
@@ -142,15 +147,16 @@ def raw_scores(responses: DataFrame, key: list[str], raw: str = "raw_response",
             if f == "BSC" and n in FORMER_NAMES:
                 former = _object(F.try_variant_get(group, f"$['{FORMER_NAMES[n]}']", "variant"))
                 item = F.when(F.col("_former") & _kind(item).isin("", "OBJECT<>"), F.coalesce(former, item)).otherwise(item)
-            found = F.try_variant_get(item, "$.score", "variant")
-            said = loose_item(text, n, f == "MAR")
-            entries.append(F.struct(
-                F.lit(n).alias("criterion"), F.when(loose, said["raw"]).otherwise(F.try_variant_get(found, "$", "string")).alias("raw"),
-                F.when(loose, F.lit(f != "MAR")).otherwise(_kind(found) == "STRING").alias("is_text"),
-                F.coalesce(F.when(loose, said["rationale"]).otherwise(F.try_variant_get(item, "$.rationale", "string")), F.lit("")).alias("rationale"),
-                F.when(loose, F.lit("loose")).otherwise(F.col("rung")).alias("rung"), F.col("_status").alias("status"),
-            ))
-        parts.append(own.select(*key, family, F.explode(F.array(*entries)).alias("e")).select(*key, F.col(family).alias("family"), "e.*"))
+            entries.append(F.struct(F.lit(n).alias("criterion"), item.alias("item"), F.when(loose, loose_item(text, n, f == "MAR")).alias("said")))
+        # a criterion is a row before its parts are looked at, so that each is found once
+        rows_of = once(own.select(*key, family, "_loose", "rung", "_status", F.explode(F.array(*entries)).alias("e")), "_score", F.try_variant_get(F.col("e.item"), "$.score", "variant"))
+        found, said = F.col("_score"), F.col("e.said")
+        parts.append(rows_of.select(
+            *key, F.col(family).alias("family"), "e.criterion", F.when(loose, said["raw"]).otherwise(F.try_variant_get(found, "$", "string")).alias("raw"),
+            F.when(loose, F.lit(f != "MAR")).otherwise(_kind(found) == "STRING").alias("is_text"),
+            F.coalesce(F.when(loose, said["rationale"]).otherwise(F.try_variant_get(F.col("e.item"), "$.rationale", "string")), F.lit("")).alias("rationale"),
+            F.when(loose, F.lit("loose")).otherwise(F.col("rung")).alias("rung"), F.col("_status").alias("status"),
+        ))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import judged
+from ..functions.text import once
 from .audit import apply_caps
 from .scoring import HIGHEST, LOWEST, coerce
 
@@ -40,10 +41,10 @@ class RecordedJudge:
 def scores(responses: DataFrame, key: list[str], capped: DataFrame | None = None) -> DataFrame:
     """key, family, criterion, score, rationale, status, warning, lowered: four rows a response.
     ``responses``: key, family, raw_response as text of the answer or of the API around it."""
-    told = responses.withColumn("raw_response", judged.response_text(F.col("raw_response")))
+    told = once(responses.withColumnRenamed("raw_response", "_answer"), "raw_response", judged.response_text(F.col("_answer"))).drop("_answer")
     silent = told.where("raw_response is null or trim(raw_response) = ''").select(*key, "family")
     rows = judged.raw_scores(told.where("raw_response is not null and trim(raw_response) <> ''"), key)
-    made = rows.withColumn("score", F.when(F.col("status") == judged.OK, coerce(F.col("raw"), F.col("family"), F.coalesce("is_text", F.lit(False)))))
+    made = once(rows, "score", F.when(F.col("status") == judged.OK, coerce(F.col("raw"), F.col("family"), F.coalesce("is_text", F.lit(False)))))
     number = F.regexp_extract("raw", r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
     warning = (
         F.when(F.col("status") != judged.OK, F.col("status")).when(F.col("raw").isNull(), "missing").when(number.isNull() | ((F.col("family").isin("BSC", "MAR")) & F.coalesce("is_text", F.lit(False)) & ~F.col("raw").rlike(r"^\s*[+-]?\d+\s*$")), "invalid")
