@@ -29,9 +29,14 @@ def violations(claims: DataFrame, bank: DataFrame, key: list[str], budget: Budge
     over = claims.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("citation_mode") == "group").alias("g"))
     limits = F.array_compact(F.array(F.when(F.col("n") > budget.records, F.lit("records")), F.when(F.col("g") > budget.multi, F.lit("multi_quota"))))
     totals = over.select(*key, F.explode(limits).alias("rule"), F.lit(None).cast("string").alias("claim_id"))
-    used = claims.select(*key, F.explode("citation_group.paper_id").alias("paper_id")).distinct()
-    papers = bank.select(*key, "paper_id").distinct()
-    missing = used.join(papers, [*key, "paper_id"], "left_anti").select(*key, F.lit("not_in_bank").alias("rule"), F.col("paper_id").alias("claim_id"))
-    unused = papers.join(used, [*key, "paper_id"], "left_anti").select(*key, F.lit("unused_paper").alias("rule"), F.col("paper_id").alias("claim_id"))
-    many = papers.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > budget.papers).select(*key, F.lit("paper_budget").alias("rule"), F.lit(None).cast("string").alias("claim_id"))
-    return own.unionByName(totals).unionByName(missing).unionByName(unused).unionByName(many)
+    # both sides in one aggregation: which papers of a sample its claims cite, which its bank has
+    cited = claims.select(*key, F.explode("citation_group.paper_id").alias("paper_id"), F.lit(True).alias("used"))
+    pairs = cited.unionByName(bank.select(*key, "paper_id", F.lit(False).alias("used"))).groupBy(*key, "paper_id").agg(F.bool_or("used").alias("used"), F.bool_or(~F.col("used")).alias("banked"))
+    nothing = F.lit(False)  # a null equals nothing, not even a null of the other side
+    for c in [*key, "paper_id"]:
+        nothing = nothing | F.col(c).isNull()
+    alone = lambda a, b, rule: F.when(F.col(a) & (~F.col(b) | nothing), F.struct(F.lit(rule).alias("rule"), F.col("paper_id").alias("claim_id")))
+    over_budget = F.when(F.count_if("banked") > budget.papers, F.struct(F.lit("paper_budget").alias("rule"), F.lit(None).cast("string").alias("claim_id")))
+    found = F.concat(F.collect_list(alone("used", "banked", "not_in_bank")), F.collect_list(alone("banked", "used", "unused_paper")), F.array_compact(F.array(over_budget)))
+    papers = pairs.groupBy(*key).agg(found.alias("found")).select(*key, F.explode("found").alias("v")).select(*key, "v.rule", F.col("v.claim_id").cast("string").alias("claim_id"))
+    return own.unionByName(totals).unionByName(papers)
