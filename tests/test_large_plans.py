@@ -79,3 +79,9 @@ def test_samples_go_to_python_many_at_a_time(spark):
     assert "MapInArrow" in plan(taken) and "FlatMapGroupsInPandas" not in plan(taken)
     assert sorted((r["doc_id"], r["pick"], r["claim_id"]) for r in taken.collect()) == [(d, i, f"c{i}") for d in range(300) for i in (1, 2)]
     assert sampling.selection_stats(pool, KEY).where("selected = 2 and papers = 2").count() == 300
+
+
+def test_counts_of_markers_need_no_clauses(spark):
+    sentences = scanner.scan(spark.createDataFrame([(1, "A [1]; b [2-3] and 【4†x】.")], "doc_id long, md string"), KEY)
+    counted = events.syntax_counts(sentences, KEY)
+    assert "by contrast" not in plan(counted) and tuple(counted.first()) == (1, 0, 2, 0, 1)
