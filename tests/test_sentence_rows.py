@@ -6,7 +6,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from folioscope.functions import citations
-from folioscope.operators import events, scanner
+from folioscope.operators import distribution, events, scanner
 from folioscope.plans import parts, queries
 
 KEY = ["doc_id"]
@@ -66,6 +66,17 @@ def test_bare_numbers_come_after_the_markers(spark):
     assert sorted((r["sentence_no"], [m["citation_index"] for m in r["citation_group"]]) for r in found.collect()) == [(0, ["2", "3"]), (1, ["1"])]
 
 
+def test_coverage_is_one_pass_without_events(spark, tmp_path):
+    covered = queries.section_coverage(spark, docs(spark, tmp_path))
+    assert plan(covered).count("posexplode(split(") == 1 and "row_number" not in plan(covered)
+    md = "# A\nWe say so [1].\n\nAnd so [2].\n# B\nNothing is said [x].\n# C\n[3].\n# D\n【4†x】 12.\n# E\nWe cite 【4†x】."
+    lines = scanner.explode_lines(spark.createDataFrame([(1, md), (2, "No more.")], "doc_id long, md string"), KEY)
+    paras = scanner.paragraphs(scanner.scan_lines(lines, KEY), KEY)
+    made = events.events(scanner.sentences(paras, KEY), KEY)
+    assert {r["section"] for r in made.select("section").distinct().collect()} == {"A", "E"}
+    assert sorted(tuple(r) for r in distribution.section_coverage(paras, KEY).collect()) == [(1, 5, 2, 0.4), (2, 1, 0, 0.0)]
+
+
 def test_lines_are_dealt_to_a_few_partitions_a_core():
     session = lambda set_, cores: SimpleNamespace(conf={"spark.sql.shuffle.partitions": set_}, sparkContext=SimpleNamespace(defaultParallelism=cores))
     assert [scanner.parts(session(*x)) for x in (("200", 12), ("4", 8))] == [48, 4]
