@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import citations, text
+from folioscope.functions import citations, claims, text
 from folioscope.operators import events, scanner
 
 PIECES = [" ", "  ", "\t", "　", "\xa0", "–", "[3]", "[ 4 - 6 ]", "[1]-[3]", "[007; 2,9]", "【12†s a】", "![a](b)", "[x](y)", "<b>", "by contrast", "HOWEVER", "whİle", "alſo", "whereaſ", "therefore,", "fine-tuning", "trade off", "tuning", "dataset", "models", "é", "中文。", "12", ".", ", ", "; ", "Abc", "x"]
@@ -38,6 +38,15 @@ def test_markers_go_as_by_the_patterns_alone(spark):
     same(spark, F.concat(F.transform(citations.markers(t), lambda m: F.concat(m["before"], m["marker"], m["after"]))), F.transform(found, lambda m: F.array_join(again, "")))
 
 
+def test_clauses_and_types_as_by_the_patterns_alone(spark):
+    t = F.col("t")
+    found = F.regexp_extract("t", rf"(?isU)^.*({claims.CONNECTIVE}.*)$", 1)
+    held = F.lower("t").rlike("|".join(claims._MAY_CONNECT)) | text.holds(t, *claims._LIKE_ASCII)
+    same(spark, (found != "") & ~held, F.when(t.isNotNull(), F.lit(False)))
+    for words in (w for _, w in claims.CLAIM_TYPES):
+        same(spark, F.lower("t").rlike(rf"(?U)\b({words})\b") & ~text.holds(F.lower("t"), *claims._beginnings(words)), F.when(t.isNotNull(), F.lit(False)))
+
+
 def test_references_are_dealt_as_lines_are(spark):
     refs = spark.createDataFrame([(1, "1", "p")], "doc_id long, citation_index string, paper_id string")
     plan = events.papers_by_index(refs, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
